@@ -321,3 +321,110 @@ def private_merge(spark, d):
     c = coef.withColumn("power", F.explode(F.array(F.lit(1), F.lit(2))))
     g = MG.weighted_merge(c, ["eps", "power"], F.pow(F.col("n").cast("double"), F.col("power")))
     return g.select(F.col("eps").cast("string").alias("eps"), "power", "var", r5(F.col("coef"), "coef"))
+
+
+# --- decision plans ------------------------------------------------------------------------
+
+from sitelattice.operators.ranktests import paired_test_table, signed_rank, spearman  # noqa: E402
+from sitelattice.operators.weights import best_weight  # noqa: E402
+from sitelattice.plans import decision_table as DT  # noqa: E402
+from sitelattice.suite.patterns import site_table  # noqa: E402
+
+
+def _decision_setup(spark, d, seeds=(0, 1), xs=XS):
+    m = materialise(I.site_matrix(spark, d))
+    return m, materialise(site_table(spark, d)), DT.split_and_fit(m, "site", "y", list(xs), ["row_id"], list(seeds))
+
+
+_R = {"benefit": 5, "q_median": 3}
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, _R.get(c, 5)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query("merge_decisions")
+def merge_decisions(spark, d):
+    m, sites, fit = _decision_setup(spark, d)
+    return _rounded(DT.observations(m, "site", "y", XS, ["row_id"], [0, 1], sites, fit=fit))
+
+
+@query("strategy_comparison")
+def strategy_comparison(spark, d):
+    """Mean benefit and helped share by partner strategy."""
+    from sitelattice.operators import partners as PA
+    m, sites, fit = _decision_setup(spark, d, (0,))
+    pools = PA.candidates(PA.site_pairs(sites), prefix=2)
+    sub = PA.strategy_subsets(pools, "strategies", 4)
+    mem = DT.draw_members(sites, [0], "s", subsets=sub, extra=["strategy"])
+    o = DT.observations(m, "site", "y", XS, ["row_id"], [0], sites, members=mem, fit=fit, extra=["strategy"])
+    return o.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), r5(F.avg("helped"), "helped"),
+                                     r5(F.avg("benefit"), "mean_benefit"))
+
+
+@query("dimension_ladder")
+def dimension_ladder(spark, d):
+    """Same rows with nested feature sets: decisions and mean benefit by dimension."""
+    m = materialise(I.site_matrix(spark, d))
+    sites = materialise(site_table(spark, d))
+    out = None
+    for k in (3, 6):
+        o = DT.observations(m, "site", "y", XS[:k], ["row_id"], [0], sites, dataset=f"d{k}", draws=4)
+        row = o.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), r5(F.avg("epv_target"), "mean_epv"),
+                                       r5(F.avg("benefit"), "mean_benefit"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("own_weight_curve")
+def own_weight_curve(spark, d):
+    """AUPRC by own-weight and partner count; best weight and share of merges that help."""
+    _, sites, fit = _decision_setup(spark, d, (0,))
+    mem = DT.draw_members(sites, [0], "weights", 8)
+    c = materialise(DT.own_weight_curve(fit, mem, "y", XS, [i / 10 for i in range(11)]))
+    best = best_weight(c, ["decision", "n_partners"], "w", "auprc")
+    return best.groupBy("n_partners").agg(F.count(F.lit(1)).alias("n"), r5(F.avg("w"), "mean_oracle_w"),
+                                          r5(F.avg("auprc"), "oracle_auprc")).join(
+        c.groupBy("n_partners").agg(r5(F.avg(F.when(F.col("w") == 0, F.col("auprc"))), "merge_auprc"),
+                                    r5(F.avg(F.when(F.col("w") == 1, F.col("auprc"))), "local_auprc")), "n_partners")
+
+
+@query("multi_method_benchmark")
+def multi_method_benchmark(spark, d):
+    """Local, merged, random-effects and ensemble scores per decision, averaged by method."""
+    _, sites, fit = _decision_setup(spark, d, (0,))
+    mem = DT.draw_members(sites, [0], "methods", 4)
+    t = DT.method_table(DT.method_scores(fit, mem, "y", XS), "y")
+    return t.groupBy("method").agg(F.count(F.lit(1)).alias("n"), *[
+        r5(F.avg(c), c) for c in ("auroc", "auprc", "brier", "calibration_slope")])
+
+
+@query("heterogeneity_comparison")
+def heterogeneity_comparison(spark, d):
+    """Methods with and without a locally refitted intercept, paired against the merge."""
+    _, sites, fit = _decision_setup(spark, d, (0,))
+    mem = DT.draw_members(sites, [0], "het", 4)
+    s = materialise(DT.method_scores(fit, mem, "y", XS))
+    tr = DT.Fitted(fit.test, fit.train, fit.model, fit.coef, fit.sizes)  # score the training side
+    mm = materialise(DT.complete(mem, fit))
+    own = DT.merged_scores(tr, mm, DT.merged_rows(fit, mm, 8), "y", XS)
+    shifts = SM.recalibrated(own, "decision", "y", "p")
+    both = s.unionByName(DT.with_local_intercept(s, shifts, "merge"))
+    t = materialise(ME.score_metrics(both, ["method", "decision"]).where("auprc IS NOT NULL"))
+    folds = t.select("method", F.lit(0).alias("seed"), F.col("decision").alias("fold"), "auprc")
+    test = paired_test_table(folds, "merge", "auprc")
+    mean = t.groupBy("method").agg(r5(F.avg("auprc"), "auprc"), r5(F.avg("brier"), "brier"))
+    return mean.join(test.select("method", r5(F.col("median_diff"), "median_diff"), r5(F.col("p_raw"), "p_raw"),
+                                 r5(F.col("p_holm"), "p_holm"), "n_pairs"), "method", "left")
+
+
+@query("repeated_cv")
+def repeated_cv(spark, d):
+    """Two repeats of stratified CV of the mean-imputed logistic on user-days."""
+    u = materialise(I.user_day(spark, d))
+
+    def method(train, test):
+        return SM.pooled_fit(train, "y", DAY, indicators=False)[1](test)
+    m = DT.repeated_cv(u, "y", ["row_id"], method, [0], 3)
+    return m.select("seed", "fold", "n", "n_positive", *[r5(F.col(c), c) for c in (
+        "auroc", "auprc", "prevalence", "accuracy", "brier", "calibration_slope", "calibration_intercept")])
