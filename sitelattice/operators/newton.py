@@ -30,6 +30,7 @@ class Design:
     A row has a key (its site or pattern). ``fill`` and ``row_active`` belong to keys;
     ``mu``, ``sd``, ``active`` and ``c`` to models. ``members[key]`` lists the models the
     key's rows take part in. Coordinates active on both sides enter, the others are zero.
+    With ``fill_by_model`` missing cells take the model's value instead of the key's.
     """
 
     keys: list[str]
@@ -40,6 +41,7 @@ class Design:
     active: np.ndarray
     c: np.ndarray
     members: list[np.ndarray] = field(default_factory=list)
+    fill_by_model: bool = False
 
     def __post_init__(self):
         if not self.members:
@@ -49,7 +51,7 @@ class Design:
 def _rows_of(design: Design, k: int, m: int, x: np.ndarray):
     cols = np.flatnonzero(design.row_active[k] & design.active[m])
     a = x[:, cols]
-    a = np.where(np.isnan(a), design.fill[k, cols], a)
+    a = np.where(np.isnan(a), design.fill[m if design.fill_by_model else k, cols], a)
     z = (a - design.mu[m, cols]) / design.sd[m, cols]
     return cols, a, z
 

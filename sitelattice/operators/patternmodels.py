@@ -80,27 +80,30 @@ def fit_submodels(df: DataFrame, xs: list[str], y: str, realised: DataFrame, fit
     return spark.createDataFrame(pd.concat(out), schema) if out else spark.createDataFrame([], schema)
 
 
-def shrink(theta: DataFrame, fitted: DataFrame, edges: DataFrame, kappas: list[float],
+def shrink(theta: DataFrame, fitted: DataFrame, edges: DataFrame, kappas: list[float] | None,
            coordinatewise: bool = False) -> DataFrame:
     """theta shrunk toward support-weighted immediate ancestors, at every kappa of a grid.
 
+    Without a grid, theta brings its own ``kappa`` column.
+
     Patterns are taken by size, smallest first, so parents are already shrunk. A variable no
     parent has keeps the pattern's own value. Each level is written once and read by later
     ones, which keeps the plan of a level short however deep the hierarchy is.
     """
-    if any(k < 0 for k in kappas):
+    if kappas and any(k < 0 for k in kappas):
         raise ValueError("kappa must be non-negative")
     spark = theta.sparkSession
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    grid = F.explode(F.array(*[F.lit(float(k)) for k in kappas]))
+    if kappas is not None:
+        theta = theta.withColumn("kappa", F.explode(F.array(*[F.lit(float(k)) for k in kappas])))
     own = materialise(theta.join(fitted.select("pattern", "size", "support"), "pattern"))
     up = edges.join(fitted.select(F.col("pattern").alias("parent"),
                                   F.col("support").cast("double").alias("w")), "parent")
     sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # at most d values
     done = None
     for s in sizes:
-        cur = own.where(F.col("size") == s).withColumn("kappa", grid)
+        cur = own.where(F.col("size") == s)
         if done is None:
             new = cur
         else:
@@ -161,15 +164,7 @@ def root_step(theta: DataFrame, fitted: DataFrame, edges: DataFrame, root: dict[
 def shrink_rooted(theta: DataFrame, fitted: DataFrame, edges: DataFrame, root: dict[int, float],
                   kappas: list[float]) -> DataFrame:
     """Shrinkage whose hierarchy is rooted at the pooled model, for a grid of kappas."""
-    parts = []
-    pre = materialise(root_step(theta, fitted, edges, root, kappas))
-    for k in kappas:
-        at = pre.where(F.col("kappa") == float(k)).select("pattern", "var", "value")
-        parts.append(shrink(at, fitted, edges, [k]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return shrink(root_step(theta, fitted, edges, root, kappas), fitted, edges, None)
 
 
 def cover_predict(df: DataFrame, xs: list[str], theta: DataFrame, fitted: DataFrame, prior: float,
@@ -259,6 +254,26 @@ def median_support(fitted: DataFrame) -> float:
     return float(quantiles(fitted, [], "support", [0.5]).first()["q"])
 
 
+KAPPA_GRID = [0.0, 200.0, 500.0, 1_000.0, 2_000.0, 5_000.0, 10_000.0, 50_000.0, 1e6, float("inf")]
+
+
+def predict_at(df: DataFrame, xs: list[str], theta: DataFrame, fitted: DataFrame, kappas: list[float],
+               carry: list[str], **kw) -> DataFrame:
+    """(carry, kappa, p): cover predictions at every kappa of ``theta``."""
+    cur = df
+    for i, k in enumerate(kappas):
+        cur = cover_predict(cur, xs, theta.where(F.col("kappa") == float(k)), fitted, out=f"__p{i}", **kw).drop("n_models")
+    cells = F.array(*[F.struct(F.lit(float(k)).alias("kappa"), F.col(f"__p{i}").alias("p")) for i, k in enumerate(kappas)])
+    return cur.select(*carry, F.inline(cells))
+
+
+def choose_kappa(scores: DataFrame, y: str) -> DataFrame:
+    """(kappa, mean_auprc) best first over inner folds; ties go to the smaller finite kappa."""
+    from sitelattice.operators.metrics import score_metrics
+    m = score_metrics(scores, ["fold", "kappa"], y).groupBy("kappa").agg(F.avg("auprc").alias("mean_auprc"))
+    return m.orderBy(F.desc("mean_auprc"), F.asc("kappa"))
+
+
 # --- fused regression ----------------------------------------------------------------------
 
 def fit_fused(df: DataFrame, xs: list[str], y: str, assigned: DataFrame, fitted: DataFrame,

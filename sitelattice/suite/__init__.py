@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "patterns", "metrics", "decisions", "models", "files"]
+MODULES = ["tables", "patterns", "metrics", "decisions", "models", "learners", "files"]
 
 
 def load_all():
