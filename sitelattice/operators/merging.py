@@ -33,12 +33,12 @@ def weighted_merge(coef: DataFrame, keys: list[str], weight: Column) -> DataFram
     """Merge under any site weight; a coordinate that is not finite becomes (0, mu 0, sd 1)."""
     n = F.col("n")
     m = coef.withColumn("__w", weight).groupBy(*keys, "var").agg(
-        (F.sum(F.col("__w") * F.col("coef")) / F.sum("__w")).alias("coef"),
+        F.try_divide(F.sum(F.col("__w") * F.col("coef")), F.sum("__w")).alias("coef"),
         (F.sum(n * F.col("mu")) / F.sum(n)).alias("mu"),
         F.greatest(F.sum(n * F.col("sd")) / F.sum(n), F.lit(1e-9)).alias("sd"),
         F.max((F.col("coef").isNull() | F.col("mu").isNull() | F.col("sd").isNull()
                | F.isnan("coef") | F.isnan("mu") | F.isnan("sd")).cast("int")).alias("__bad"))
-    ok = F.col("__bad") == 0
+    ok = (F.col("__bad") == 0) & F.col("coef").isNotNull()
     return m.select(*keys, "var", F.when(ok, F.col("coef")).otherwise(0.0).alias("coef"),
                     F.when(ok, F.col("mu")).otherwise(0.0).alias("mu"),
                     F.when(ok, F.col("sd")).otherwise(1.0).alias("sd"))

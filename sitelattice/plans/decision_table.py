@@ -69,7 +69,8 @@ def draw_members(sites: DataFrame, seeds: list[int], tag: str, draws: int = 12,
 
 def complete(members: DataFrame, fit: Fitted) -> DataFrame:
     """Members of decisions whose every unit has a model."""
-    j = members.join(fit.sizes, "unit", "left")
+    added = [c for c in fit.sizes.columns if c != "unit"]
+    j = members.drop(*added).join(fit.sizes, "unit", "left")
     ok = j.groupBy("decision").agg(F.min(F.col("n_train").isNotNull()).alias("ok")).where("ok")
     return j.join(ok.select("decision"), "decision", "left_semi")
 

@@ -428,3 +428,21 @@ def repeated_cv(spark, d):
     m = DT.repeated_cv(u, "y", ["row_id"], method, [0], 3)
     return m.select("seed", "fold", "n", "n_positive", *[r5(F.col(c), c) for c in (
         "auroc", "auprc", "prevalence", "accuracy", "brier", "calibration_slope", "calibration_intercept")])
+
+
+@query("combiner_comparison")
+def combiner_comparison(spark, d):
+    """Merge, ensemble and pooled gains over local per decision: rho, best cut, accuracy."""
+    from sitelattice.operators.thresholds import combiner_table
+    from sitelattice.plans.combiners import combiner_gains
+    _, sites, fit = _decision_setup(spark, d, (0,))
+    g = materialise(combiner_gains(fit, DT.draw_members(sites, [0], "combiners", 4), "y", XS))
+    return _rounded(combiner_table(g, ["lr_merge", "lr_ensemble", "lr_pooled"]))
+
+
+@query("privacy_sweep")
+def privacy_sweep(spark, d):
+    from sitelattice.plans.combiners import privacy_summary, privacy_sweep as sweep
+    _, sites, fit = _decision_setup(spark, d, (0,))
+    cells = sweep(fit, DT.draw_members(sites, [0], "privacy", 3, 3), "y", XS, [1.0, 5.0, float("inf")])
+    return _rounded(privacy_summary(cells).withColumn("eps", F.col("eps").cast("string")))
