@@ -17,6 +17,8 @@ from sitelattice.session import materialise, slices_for
 
 _ALL = "__all"
 _SLICE = "__slice"
+# Up to this many cells in all, groups are ordered whole; beyond it, slice by slice.
+SMALL_CELLS = 100_000
 
 
 def _same(keys: list[str], left: str, right: str) -> Column:
@@ -39,18 +41,21 @@ def hash_row_number(df: DataFrame, groups: list[str], ids: list[str], seed,
     base = (base.withColumn("__h", digest(seed, *ids))
             .withColumn(_SLICE, F.substring("__h", 1, digits)))
     counts = base.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(
-        Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, _SLICE,
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+        *keys, _SLICE, F.lit(0).alias("__row"),
+        F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__k"),
         F.sum("__n").over(Window.partitionBy(*keys)).alias(total))
-    local = Window.partitionBy(*keys, _SLICE).orderBy("__h", *ids)
-    ranked = base.withColumn("__local", F.row_number().over(local)).alias("r")
-    joined = ranked.join(offsets.alias("o"), _same([*keys, _SLICE], "r", "o"))
-    return joined.select(
-        *[F.col(f"r.{c}") for c in df.columns],
-        (F.col("__local") + F.col("__before")).alias(out), F.col(f"o.{total}"))
+    rows = base.withColumn("__row", F.lit(1)).withColumn("__k", F.lit(1).cast("bigint"))
+    local = (Window.partitionBy(*keys, _SLICE).orderBy("__row", "__h", *ids)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = rows.unionByName(offsets, allowMissingColumns=True).select(
+        *df.columns, "__row", F.sum("__k").over(local).alias(out), F.first(total).over(local).alias(total))
+    return ranked.where("__row = 1").drop("__row")
+
+
+def _earlier(keys: list[str]):
+    """Slices of the same group before this one; at most one row per slice."""
+    return Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def split_points(cells: DataFrame, value: str, slices: int) -> list[float]:
@@ -77,36 +82,46 @@ def running_by_value(df: DataFrame, groups: list[str], value: str,
     names = list(sums)
     cells = base.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(
         *[F.sum(sums[m]).alias(m) for m in names])
-    cells = materialise(cells)  # read three times below
+    cells = materialise(cells)  # read several times below
+    before = Window.unboundedPreceding, -1
+    if cells.count() <= SMALL_CELLS:  # from the file footers; one task can order this many
+        local = Window.partitionBy(*keys).orderBy(value).rowsBetween(*before)
+        whole = Window.partitionBy(*keys)
+        return cells.select(
+            *groups, value, *names,
+            *[F.coalesce(F.sum(m).over(local), F.lit(0)).alias(f"{m}_before") for m in names],
+            *[F.sum(m).over(whole).alias(f"{m}_total") for m in names])
     pts = split_points(cells, value, slices or slices_for(df.sparkSession))
     cells = Bucketizer(splits=pts, inputCol=value, outputCol=_SLICE,
                        handleInvalid="keep").transform(cells)
     per_slice = cells.groupBy(*keys, _SLICE).agg(*[F.sum(m).alias(m) for m in names])
-    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(
-        Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = per_slice.select(
-        *keys, _SLICE,
-        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"__off_{m}") for m in names],
+        *keys, _SLICE, F.lit(0).alias("__row"),
+        *[F.coalesce(F.sum(m).over(_earlier(keys)), F.lit(0)).alias(m) for m in names],
         *[F.sum(m).over(whole).alias(f"{m}_total") for m in names])
-    local = (Window.partitionBy(*keys, _SLICE).orderBy(value)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    ordered = cells.select(
-        "*", *[F.coalesce(F.sum(m).over(local), F.lit(0)).alias(f"__loc_{m}") for m in names])
-    joined = ordered.alias("r").join(offsets.alias("o"), _same([*keys, _SLICE], "r", "o"))
-    return joined.select(
-        *[F.col(f"r.{k}") for k in groups], F.col(f"r.{value}"),
-        *[F.col(f"r.{m}") for m in names],
-        *[(F.col(f"__loc_{m}") + F.col(f"__off_{m}")).alias(f"{m}_before") for m in names],
-        *[F.col(f"{m}_total") for m in names])
+    # the offset row opens its slice, so one ordered window gives the running sums
+    local = Window.partitionBy(*keys, _SLICE).orderBy("__row", value)
+    rows = cells.withColumn("__row", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
+    run = rows.select(
+        *groups, value, *names, "__row",
+        *[F.sum(m).over(local.rowsBetween(*before)).alias(f"{m}_before") for m in names],
+        *[F.first(f"{m}_total").over(local.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{m}_total")
+          for m in names])
+    return run.where("__row = 1").drop("__row")
 
 
 def average_ranks(df: DataFrame, groups: list[str], value: str, out: str = "rank",
-                  weight: Column | None = None) -> DataFrame:
-    """(group, value, n, rank): tie-averaged ascending rank of each distinct value."""
+                  weight: Column | None = None, centred: bool = False) -> DataFrame:
+    """(group, value, n, rank): tie-averaged ascending rank of each distinct value.
+
+    ``centred`` subtracts the group's mean rank, (n+1)/2, which keeps power sums small.
+    """
     cells = running_by_value(df, groups, value, {"n": weight if weight is not None else F.lit(1)})
-    return cells.select(*groups, value, "n",
-                        (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(out))
+    rank = F.col("n_before") + (F.col("n") + 1) / 2.0
+    if centred:
+        rank = rank - (F.col("n_total") + 1) / 2.0
+    return cells.select(*groups, value, "n", rank.alias(out))
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
@@ -156,11 +171,12 @@ def counts_below(df: DataFrame, groups: list[str], value: str, sums: dict[str, C
     ``m_total`` for every measure.
     """
     data = df.where(F.col(value).isNotNull()).select(
-        *groups, F.col(value).cast("double").alias("__v"), *[c.alias(m) for m, c in sums.items()])
+        *groups, F.col(value).cast("double").alias("__v"), *[c.alias(m) for m, c in sums.items()],
+        F.lit(0).alias("__pt"))
     zero = points.select(*groups, F.col(point).cast("double").alias("__v"),
-                         *[F.lit(0).alias(m) for m in sums]).distinct()
+                         *[F.lit(0).alias(m) for m in sums], F.lit(1).alias("__pt")).distinct()
     run = running_by_value(data.unionByName(zero), groups, "__v",
-                           {m: F.col(m) for m in sums})
+                           {**{m: F.col(m) for m in sums}, "__pt": F.col("__pt")}).where("__pt > 0")
     keys = [*groups, "__v"]
     looked = points.withColumn("__v", F.col(point).cast("double")).alias("p").join(
         run.alias("r"), _same(keys, "p", "r"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelattice.operators.ordered import _same, average_ranks, quantile_columns
+from sitelattice.session import materialise
 
 _ALL = "__all"
 
@@ -22,23 +23,23 @@ def normal_tail_two_sided(z: Column) -> Column:
 
 
 def with_ranks(df: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
-    """Rows collapsed to distinct value combinations, each column with its average rank.
+    """Rows collapsed to distinct value combinations, each column with its centred rank.
 
     Output has ``n`` rows per combination and ``rank_<column>``.
     """
     clean = df.dropna(subset=columns).select(
         *groups, *[F.col(c).cast("double").alias(c) for c in columns])
-    cells = clean.groupBy(*groups, *columns).agg(F.count(F.lit(1)).alias("n"))
+    cells = materialise(clean.groupBy(*groups, *columns).agg(F.count(F.lit(1)).alias("n")))
+    out = cells
     for c in columns:
-        r = average_ranks(cells, groups, c, f"rank_{c}", weight=F.col("n")).drop("n")
-        left, keys = cells.alias("l"), [*groups, c]
-        cells = left.join(r.alias("k"), _same(keys, "l", "k")).select(
+        r = average_ranks(cells, groups, c, f"rank_{c}", F.col("n"), centred=True).drop("n")
+        out = out.alias("l").join(r.alias("k"), _same([*groups, c], "l", "k")).select(
             "l.*", F.col(f"k.rank_{c}"))
-    return cells
+    return out
 
 
 def _weighted_corr(x: str, y: str) -> Column:
-    """Pearson correlation of two centred rank columns from weighted power sums."""
+    """Pearson correlation of two rank columns, centred on (n+1)/2, from weighted power sums."""
     n = F.sum("n").cast("double")
     sx, sy = F.sum(F.col("n") * F.col(x)), F.sum(F.col("n") * F.col(y))
     sxy = F.sum(F.col("n") * F.col(x) * F.col(y))
@@ -50,32 +51,16 @@ def _weighted_corr(x: str, y: str) -> Column:
 
 def spearman(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     """Spearman rho per group, with n and the large-sample p-value."""
-    cells = with_ranks(df, groups, [x, y])
-    centred = _centre(cells, groups, [f"rank_{x}", f"rank_{y}"])
-    out = centred.groupBy(*groups).agg(
+    out = with_ranks(df, groups, [x, y]).groupBy(*groups).agg(
         F.sum("n").alias("n"), _weighted_corr(f"rank_{x}", f"rank_{y}").alias("rho"))
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
     return out.withColumn("p", F.when(F.abs(F.col("rho")) < 1, normal_tail_two_sided(t))
                           .otherwise(F.when(F.col("rho").isNotNull(), F.lit(0.0))))
 
 
-def _centre(cells: DataFrame, groups: list[str], ranks: list[str]) -> DataFrame:
-    """Subtract each group's mean rank (exactly (n+1)/2) to keep the power sums small."""
-    keys = groups or [_ALL]
-    base = cells if groups else cells.withColumn(_ALL, F.lit(0))
-    mid = base.groupBy(*keys).agg(((F.sum("n") + 1) / 2.0).alias("__mid"))
-    j = base.alias("l").join(F.broadcast(mid.alias("k")) if not groups else mid.alias("k"),
-                             _same(keys, "l", "k"))
-    keep = [c for c in cells.columns if c not in ranks]
-    return j.select(*[F.col(f"l.{c}") for c in keep],
-                    *[(F.col(f"l.{r}") - F.col("__mid")).alias(r) for r in ranks])
-
-
 def partial_spearman(df: DataFrame, groups: list[str], x: str, y: str, given: str) -> DataFrame:
     """Rank correlation of x and y with the ranks of ``given`` partialled out of both."""
-    cells = _centre(with_ranks(df, groups, [x, y, given]), groups,
-                    [f"rank_{c}" for c in (x, y, given)])
-    r = cells.groupBy(*groups).agg(
+    r = with_ranks(df, groups, [x, y, given]).groupBy(*groups).agg(
         F.sum("n").alias("n"),
         _weighted_corr(f"rank_{x}", f"rank_{y}").alias("rxy"),
         _weighted_corr(f"rank_{x}", f"rank_{given}").alias("rxz"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sitelattice.operators.ordered import (_same, counts_below, quantile_columns, quantiles,
                                            running_by_value)
 from sitelattice.operators.ranktests import spearman
+from sitelattice.session import materialise
 
 
 def linspace(lo: float, hi: float, k: int) -> list[float]:
@@ -66,13 +67,16 @@ def loso_accuracy(long: DataFrame, feature: str, site: str, value: str, label: s
     The held-out site's own counts are subtracted from the overall running counts, so the
     quantile grid and accuracies of every training set come from two running sums.
     """
-    rows = long.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(
-        feature, site, F.col(value).cast("double").alias(value), label)
-    measures = {"n": F.lit(1), "pos": F.col(label)}
-    cells = rows.groupBy(feature, value).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
+    rows = materialise(long.where(F.col(value).isNotNull() & F.col(label).isNotNull()).groupBy(
+        feature, site, F.col(value).cast("double").alias(value)).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")))
+    measures = {"n": F.col("n"), "pos": F.col("pos")}
+    cells = rows.groupBy(feature, value).agg(F.sum("n").alias("n"))
     overall = running_by_value(cells, [feature], value, {"n": F.col("n"), "c": F.lit(1)})
-    own = running_by_value(rows, [feature, site], value, {"n": F.lit(1)})
-    both = own.alias("w").join(overall.alias("a"), _same([feature, value], "w", "a")).select(
+    own = running_by_value(rows, [feature, site], value, {"n": F.col("n")})
+    overall = materialise(overall)  # read three times; feature and value are never NULL here
+    both = own.alias("w").join(overall.alias("a"), (F.col(f"w.{feature}") == F.col(f"a.{feature}"))
+                               & (F.col(f"w.{value}") == F.col(f"a.{value}"))).select(
         f"w.{feature}", f"w.{site}", F.col("w.n").alias("n"),
         (F.col("a.n_before") + F.col("a.n") - F.col("w.n_before") - F.col("w.n")).alias("others"),
         (F.col("a.n_total") - F.col("w.n_total")).alias("train"))
@@ -94,6 +98,7 @@ def loso_accuracy(long: DataFrame, feature: str, site: str, value: str, label: s
         F.max(F.when(F.col("side") == "hi", F.col(value))).alias("hi"),
         F.max("frac").alias("frac")).select(
         feature, site, "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("t"))
+    cuts = materialise(cuts)
     a = counts_below(rows, [feature], value, measures, cuts, "t", [site, "k"])
     o = counts_below(rows, [feature, site], value, measures, cuts, "t", ["k"])
     keys = [feature, site, "k"]
