@@ -168,6 +168,7 @@ def boundary_by_tercile(decisions: DataFrame, pool: str, by: str = "i2_median",
     big = ok.groupBy(pool).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 200").select(pool)
     cut3 = quantile_bins(ok.join(big, pool, "left_semi").select(pool, by, value, label),
                          [pool], by, [0.0, 1 / 3, 2 / 3, 1.0], "tercile")
+    cut3 = materialise(cut3)
     med = quantile_columns(cut3, [pool, "tercile"], by, {"median_by": 0.5})
     cut = best_cut(cut3, [pool, "tercile"], value, label, linspace(0.05, 0.95, 49), min_rows=60)
     return med.join(cut.drop("direction", "majority"), [pool, "tercile"])
@@ -209,6 +210,7 @@ def crossing_size(decisions: DataFrame, pool: str) -> DataFrame:
                                 F.max("n_target").alias("hi")).where("__n > 300")
     bins = quantile_bins(ok.join(span.select(pool), pool, "left_semi"), [pool], "n_target",
                          linspace(0.0, 1.0, 7))
+    bins = materialise(bins)
     med = quantile_columns(bins, [pool, "bin"], "n_target", {"m": 0.5})
     mean = bins.groupBy(pool, "bin").agg(F.avg("benefit").alias("b"), F.count(F.lit(1)).alias("k"))
     pts = mean.where("k >= 30").join(med, [pool, "bin"]).select(
