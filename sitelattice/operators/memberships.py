@@ -101,10 +101,19 @@ def fit_bank(df: DataFrame, key: str, y: str, xs: list[str], models: dict[str, l
 def score_bank(df: DataFrame, key: str, carry: list[str], xs: list[str], bank: Bank,
                scored_by: dict[str, list[str]]) -> DataFrame:
     """(carry, model, p): each row scored by the models listed for its key."""
-    at = {n: i for i, n in enumerate(bank.names)}
-    w, b = bank.raw()
-    use = {k: np.array([at[m] for m in ms if bank.ok[at[m]]], int) for k, ms in scored_by.items()}
-    shared = df.sparkSession.sparkContext.broadcast((use, w, b, bank.mu, bank.names))
+    out = None
+    for part in N.batches(len(bank.names), len(xs)):
+        s = _score_part(df, key, carry, xs, bank, scored_by, part)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def _score_part(df, key, carry, xs, bank, scored_by, part: range) -> DataFrame:
+    at = {bank.names[i]: i - part.start for i in part}
+    w, b = (a[part.start:part.stop] for a in bank.raw())
+    ok, mus = bank.ok[part.start:part.stop], bank.mu[part.start:part.stop]
+    use = {k: np.array([at[m] for m in ms if m in at and ok[at[m]]], int) for k, ms in scored_by.items()}
+    shared = df.sparkSession.sparkContext.broadcast((use, w, b, mus, list(at)))
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in carry) + ", model string, p double"
 
@@ -112,14 +121,11 @@ def score_bank(df: DataFrame, key: str, carry: list[str], xs: list[str], bank: B
         use, w, b, mu, names = shared.value
         for pdf in batches:
             x = pdf[xs].to_numpy(dtype=float)
-            for k, part in pdf.groupby(key).indices.items():
-                ms = use.get(k)
-                if ms is None or not ms.size:
-                    continue
-                for m in ms:
-                    a = x[part]
+            for k, rows in pdf.groupby(key).indices.items():
+                for m in use.get(k, ()):
+                    a = x[rows]
                     z = b[m] + np.where(np.isnan(a), mu[m], a) @ w[m]
-                    yield pdf.iloc[part][carry].assign(
+                    yield pdf.iloc[rows][carry].assign(
                         model=names[m], p=1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
     cols = list(dict.fromkeys([key, *carry, *xs]))

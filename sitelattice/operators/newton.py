@@ -152,9 +152,10 @@ def _solve(sums: DataFrame, design: Design, theta: np.ndarray, d: int, ridge: fl
 
 
 def fit(df: DataFrame, key: str, y: str, xs: list[str], design: Design, max_iter: int = 30,
-        tol: float = 1e-9):
+        tol: float = 1e-6):
     """Newton to convergence for every model: (theta, info, n). A step that raises a model's
-    loss is halved. Converged models drop out of later passes."""
+    loss is halved. A model whose step is below ``tol`` takes it and drops out of later
+    passes; the steps converge quadratically, so what is left is of the order of its square."""
     d, k = len(xs), len(design.mu)
     theta = np.zeros((k, d + 1))
     base, step = theta.copy(), np.zeros_like(theta)
@@ -176,10 +177,9 @@ def fit(df: DataFrame, key: str, y: str, xs: list[str], design: Design, max_iter
                     theta[m] = base[m] + size[m] * step[m]
                     continue
                 loss[m], base[m], step[m], size[m] = ls, theta[m].copy(), np.asarray(s), 1.0
+                theta[m] = base[m] + step[m]
                 if np.max(np.abs(step[m])) < tol:
                     live[m] = False
-                else:
-                    theta[m] = base[m] + step[m]
             live &= seen
     finally:
         data.unpersist()

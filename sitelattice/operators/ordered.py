@@ -30,12 +30,17 @@ def _same(keys: list[str], left: str, right: str) -> Column:
 
 
 def hash_row_number(df: DataFrame, groups: list[str], ids: list[str], seed,
-                    out: str = "rn", total: str = "group_n", digits: int = 3) -> DataFrame:
+                    out: str = "rn", total: str = "group_n", digits: int | None = None) -> DataFrame:
     """Exact row number in digest order within each group, and the group's row count.
 
     ``ids`` must identify a row inside its group. ``16**digits`` slices bound the rows any
-    one task sorts, whatever the group sizes.
+    one task sorts, whatever the group sizes; by default there are at least eight slices per
+    shuffle task, so a single huge group still fills the cluster.
     """
+    if digits is None:
+        digits = 3
+        while 16**digits < 4 * slices_for(df.sparkSession):
+            digits += 1
     keys = groups or [_ALL]
     base = df if groups else df.withColumn(_ALL, F.lit(0))
     base = (base.withColumn("__h", digest(seed, *ids))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,8 +168,8 @@ def pooled_fit(df: DataFrame, y: str, xs: list[str], c: float = 1.0, indicators:
 # --- federated averaging -------------------------------------------------------------------
 
 def _site_gradients(df: DataFrame, key: str, y: str, xs: list[str], design: N.Design,
-                    w: np.ndarray, unit: bool) -> dict[str, np.ndarray]:
-    """Mean gradient of every site at its current weights: sites x (d+1) numbers come back."""
+                    w: np.ndarray, unit: bool) -> dict[int, np.ndarray]:
+    """Summed gradient and row count of every site at its current weights, in one scan."""
     d = len(xs)
     shared = df.sparkSession.sparkContext.broadcast((design, w))
 
@@ -176,22 +178,19 @@ def _site_gradients(df: DataFrame, key: str, y: str, xs: list[str], design: N.De
         index = {k: i for i, k in enumerate(design.keys)}
         acc = np.zeros((len(design.keys), d + 2))
         for pdf in batches:
-            codes = pdf[key].map(index).to_numpy()
             x, yy = pdf[xs].to_numpy(dtype=float), pdf[y].to_numpy(dtype=float)
-            for k in np.unique(codes[~pd.isna(codes)]).astype(int):
-                at = codes == k
+            for name, at in pdf.groupby(key).indices.items():
+                k = index[name]
                 cols, _, z = N._rows_of(design, k, k, x[at])
                 if unit:
                     z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1.0)
                 r = 1 / (1 + np.exp(-np.clip(z @ w[k, cols] + w[k, d], -35, 35))) - yy[at]
                 acc[k, cols] += r @ z
                 acc[k, d] += r.sum()
-                acc[k, d + 1] += at.sum()
+                acc[k, d + 1] += len(at)
         hit = np.flatnonzero(acc[:, d + 1])
         yield pd.DataFrame({"k": hit, "vec": list(acc[hit])})
 
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
     got = df.select(key, y, *xs).mapInPandas(scan, "k int, vec array<double>").groupBy("k").agg(
         vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("vec")).toPandas()
     return {int(k): np.asarray(v) for k, v in zip(got["k"], got["vec"])}

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelattice.operators import newton as N
 from sitelattice.operators.memberships import anova_f, fit_bank, key_stats, score_bank
 from sitelattice.operators.metrics import score_metrics
 from sitelattice.operators.ordered import hash_row_number
@@ -39,7 +40,24 @@ def local_variants(df: DataFrame, site: str, y: str, xs: list[str], ids: list[st
     d = len(xs)
     ks = sorted({max(2, round(d * f)) for f in fractions} | {d})
     train = {f"{s}~{f}": [f"{s}@{g}" for g in range(FOLDS) if g != f] for s in sites for f in range(FOLDS)}
-    score_f = anova_f(rows, "__key", y, xs, train)
+    scored = None
+    for part in _chunks(sites, FOLDS * len(ks) * len(cs), d):
+        p = _grid_scores(rows, y, xs, part, train, ks, cs, st)
+        scored = p if scored is None else scored.unionByName(p)
+    return _best_variants(scored, site, cs, d)
+
+
+def _chunks(sites: list[str], models_per_site: int, d: int) -> list[list[str]]:
+    """Sites whose models together stay within the state bound."""
+    per = max(1, N.STATE_BYTES // (8 * (4 * d + 8) * models_per_site))
+    return [sites[i:i + per] for i in range(0, len(sites), per)]
+
+
+def _grid_scores(rows: DataFrame, y: str, xs: list[str], sites: list[str], train: dict, ks: list[int],
+                 cs: list[float], st) -> DataFrame:
+    """(model, auprc, ...) of every (site, k, C, fold) of these sites, fitted in shared scans."""
+    d = len(xs)
+    score_f = anova_f(rows, "__key", y, xs, {n: v for n, v in train.items() if n.rsplit("~", 1)[0] in set(sites)})
     models, c_of, active, where = {}, {}, {}, {}
     for s in sites:
         for f in range(FOLDS):
@@ -54,10 +72,14 @@ def local_variants(df: DataFrame, site: str, y: str, xs: list[str], ids: list[st
                     active[name] = act
                     where.setdefault(f"{s}@{f}", []).append(name)
     bank = fit_bank(rows, "__key", y, xs, models, c_of, active, stats=st)
-    s = score_metrics(score_bank(rows, "__key", [y], xs, bank, where), ["model"], y)
+    return score_metrics(score_bank(rows, "__key", [y], xs, bank, where), ["model"], y)
+
+
+def _best_variants(s: DataFrame, site: str, cs: list[float], d: int) -> DataFrame:
     parts = F.split("model", "~")
     cv = s.select(parts[0].alias(site), parts[1].cast("int").alias("k"), parts[2].cast("int").alias("ci"),
                   "auprc").groupBy(site, "k", "ci").agg(F.avg("auprc").alias("cv"))
+    cv = materialise(cv)
     grid_c = F.element_at(F.array(*[F.lit(c) for c in cs]), F.col("ci") + 1)
     default_i = int(np.argmin([abs(np.log(c)) for c in cs]))
     pick = lambda variant, cond: cv.where(cond).groupBy(site).agg(F.max(F.struct(
@@ -84,11 +106,14 @@ def learning_curve(df: DataFrame, site: str, y: str, xs: list[str], ids: list[st
     st = key_stats(rows, "__key", y, xs)
     sites = sorted({k.rsplit("@", 2)[0] for k in st.keys})
     steps = range(len(fractions))
-    models = {f"{s}~{i}~{f}": [f"{s}@{g}@{j}" for g in range(FOLDS) if g != f for j in steps if j <= i]
-              for s in sites for i in steps for f in range(FOLDS)}
-    where = {f"{s}@{f}@{j}": [f"{s}~{i}~{f}" for i in steps] for s in sites for f in range(FOLDS) for j in steps}
-    bank = fit_bank(rows, "__key", y, xs, models, 1.0, stats=st, threshold=0.5)
-    s = score_metrics(score_bank(rows, "__key", [y], xs, bank, where), ["model"], y)
+    s = None
+    for group in _chunks(sites, FOLDS * len(fractions), len(xs)):
+        models = {f"{k}~{i}~{f}": [f"{k}@{g}@{j}" for g in range(FOLDS) if g != f for j in steps if j <= i]
+                  for k in group for i in steps for f in range(FOLDS)}
+        where = {f"{k}@{f}@{j}": [f"{k}~{i}~{f}" for i in steps] for k in group for f in range(FOLDS) for j in steps}
+        bank = fit_bank(rows, "__key", y, xs, models, 1.0, stats=st, threshold=0.5)
+        m = score_metrics(score_bank(rows, "__key", [y], xs, bank, where), ["model"], y)
+        s = m if s is None else s.unionByName(m)
     parts = F.split("model", "~")
     c = s.select(parts[0].alias(site), parts[1].cast("int").alias("i"), "auprc").groupBy(site).agg(
         *[F.avg(F.when(F.col("i") == i, F.col("auprc"))).alias(f"c{i + 1}") for i in steps])

@@ -45,4 +45,4 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def slices_for(spark: SparkSession) -> int:
     """How many value ranges an ordered computation is cut into: a few per shuffle task."""
-    return max(8, min(1024, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(8, min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -313,6 +313,17 @@ def fedavg(spark, d):
     return spark.createDataFrame(rows, "round int, var int, value double").withColumn("value", F.round("value", 5))
 
 
+@query("private_fedavg")
+def private_fedavg(spark, d):
+    """Every round's release perturbed at its share of the budget, unit-ball rows, rate 0.5."""
+    m = materialise(I.site_matrix(spark, d))
+    rows = []
+    for eps in (1.0, float("inf")):
+        _, snaps = SM.fedavg(m, "site", "y", XS, rounds=2, checkpoints=(2,), lr=0.5, eps=eps, unit=True)
+        rows += [(str(eps), j, float(snaps[2][j])) for j in range(9)]
+    return spark.createDataFrame(rows, "eps string, var int, value double").withColumn("value", F.round("value", 5))
+
+
 @query("private_merge")
 def private_merge(spark, d):
     """Site models perturbed at several privacy budgets, merged by rows and by rows squared."""
@@ -437,7 +448,7 @@ def combiner_comparison(spark, d):
     from sitelattice.plans.combiners import combiner_gains
     _, sites, fit = _decision_setup(spark, d, (0,))
     g = materialise(combiner_gains(fit, DT.draw_members(sites, [0], "combiners", 4), "y", XS))
-    return _rounded(combiner_table(g, ["lr_merge", "lr_ensemble", "lr_pooled"]))
+    return _rounded(combiner_table(g, ["lr_merge", "lr_ensemble", "lr_pooled", "lr_fedavg5"]))
 
 
 @query("privacy_sweep")
