@@ -78,7 +78,25 @@ def shrink_levels(spark, d):
     return s.select("pattern", "var", "kappa", r6(F.col("value"), "value"))
 
 
-@query("shrink_coordinatewise")
+def _coordinate_ctes(kappa: float, sizes=range(1, 6)) -> dict[str, str]:
+    """Levels with the prior's strength scaled by the ancestor support behind each variable."""
+    out, prev = {}, None
+    for s in sizes:
+        cur = f"SELECT th.*, support FROM th JOIN fit USING (pattern) WHERE size={s}"
+        if prev is None:
+            out[f"s{s}"] = f"SELECT pattern, var, value, support FROM ({cur})"
+        else:
+            out[f"s{s}"] = f"""SELECT * FROM {prev} UNION ALL SELECT pattern, var, CASE WHEN target IS NULL THEN value ELSE
+              support/(support+k)*value+(1-support/(support+k))*target END AS value, support FROM (
+              SELECT *, CASE WHEN var>=0 AND mass>0 THEN {kappa}*mass/avg(CASE WHEN var>=0 THEN mass END) OVER (PARTITION BY pattern) ELSE {kappa} END AS k
+              FROM ({cur}) LEFT JOIN (SELECT child AS pattern, var, sum(support*value)/sum(support) AS target, sum(support)::DOUBLE AS mass
+                FROM edge JOIN {prev} ON pattern=parent GROUP BY 1,2) USING (pattern, var))"""
+        prev = f"s{s}"
+    return out
+
+
+@query("shrink_coordinatewise", sql("SELECT pattern, var, 100.0::DOUBLE AS kappa, round(value,6) AS value FROM s5", "ud",
+                                    extra={**_PAT, **_coordinate_ctes(100.0)}))
 def shrink_coordinatewise(spark, d):
     _, _, fit, edges, theta = _pattern_setup(spark, d)
     s = PM.shrink(theta, fit, edges, [100.0], coordinatewise=True)
@@ -208,6 +226,48 @@ def site_models(spark, d):
         "site", "var", "n", *[r5(F.col(c), c) for c in ("mu", "sd", "coef", "raw", "raw_b")], F.round("info", 3).alias("info"))
 
 
+def _one_variable_ctes(steps: int) -> dict[str, str]:
+    """Penalised Newton of y on one standardised, mean-filled variable, unrolled."""
+    out = {"z": """SELECT site, y, coalesce((x0-m)/s,0.0) AS z FROM sm JOIN (SELECT site, avg(x0) AS m,
+             stddev_pop(x0)*sqrt(count(x0)/count(*)::DOUBLE) AS s FROM sm GROUP BY 1) USING (site)""",
+           "t0": "SELECT site, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM z GROUP BY 1"}
+    for i in range(steps):
+        out[f"t{i + 1}"] = f"""SELECT site, a+(g0*h2-g1*h1)/(h0*h2-h1*h1) AS a, b+(g1*h0-g0*h1)/(h0*h2-h1*h1) AS b FROM (
+          SELECT site, any_value(a) AS a, any_value(b) AS b, sum(y-q) AS g0, sum((y-q)*z)-any_value(b) AS g1, sum(q*(1-q)) AS h0,
+          sum(q*(1-q)*z) AS h1, sum(q*(1-q)*z*z)+1 AS h2 FROM (SELECT z.*, a, b, 1/(1+exp(-(a+b*z))) AS q FROM z JOIN t{i} USING (site)) GROUP BY 1)"""
+    return out
+
+
+@query("site_models_one_variable", sql("SELECT site, round(b,6) AS coef, round(a,6) AS intercept FROM t7", "sm", extra=_one_variable_ctes(7)))
+def site_models_one_variable(spark, d):
+    m = materialise(I.site_matrix(spark, d).select("site", "y", "x0"))
+    model, coef = SM.fit_sites(m, "site", "y", ["x0"])
+    return coef.join(model.select("site", "intercept"), "site").select(
+        "site", r6(F.col("coef"), "coef"), r6(F.col("intercept"), "intercept"))
+
+
+def _fed_ctes(rounds: int, epochs: int) -> dict[str, str]:
+    out = {"z": _one_variable_ctes(0)["z"], "w0": "SELECT site, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, count(*) AS n FROM z GROUP BY 1"}
+    k = 0
+    for _ in range(rounds):
+        for _ in range(epochs):
+            out[f"w{k + 1}"] = f"""SELECT site, any_value(a)-avg(q-y) AS a, any_value(b)-avg((q-y)*z) AS b, count(*) AS n FROM (
+              SELECT z.*, a, b, 1/(1+exp(-(a+b*z))) AS q FROM z JOIN w{k} USING (site)) GROUP BY 1"""
+            k += 1
+        out[f"w{k + 1}"] = f"SELECT site, (SELECT sum(n*a)/sum(n) FROM w{k}) AS a, (SELECT sum(n*b)/sum(n) FROM w{k}) AS b, n FROM w{k}"
+        k += 1
+    return {c: f"{v}" for c, v in out.items()}
+
+
+@query("fedavg_one_variable", sql("SELECT 0 AS var, round(any_value(b),6) AS value FROM w8 UNION ALL SELECT 1, round(any_value(a),6) FROM w8",
+                                  "sm", extra=_fed_ctes(2, 3)))
+def fedavg_one_variable(spark, d):
+    m = materialise(I.site_matrix(spark, d).select("site", "y", "x0"))
+    _, snaps = SM.fedavg(m, "site", "y", ["x0"], rounds=2, checkpoints=(2,), local_epochs=3)
+    return spark.createDataFrame([(j, float(snaps[2][j])) for j in range(2)], "var int, value double").withColumn(
+        "value", F.round("value", 6))
+
+
 @query("local_scores")
 def local_scores(spark, d):
     m, model, coef = _site_fit(spark, d)

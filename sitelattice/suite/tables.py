@@ -267,15 +267,15 @@ def _interaction_sql() -> str:
     imp = [f"coalesce(x{j},m{j},0.0)" for j in range(8)]
     flag = [f"(CASE WHEN x{j} IS NULL THEN 0.0 ELSE 1.0 END)" for j in range(8)]
     terms = imp + flag + [f"{flag[i]}*{imp[j]}" for i in range(8) for j in range(8)]
-    agg = ", ".join(f"count(CASE WHEN {t}<>0 THEN 1 END) AS n{i}, sum({t}) AS s{i}" for i, t in enumerate(terms))
-    out = " UNION ALL ".join(f"SELECT {i} AS idx, n{i} AS n_nonzero, round(s{i},4) AS total FROM a" for i in range(len(terms)))
+    agg = ", ".join(f"count(CASE WHEN {t}<>0 THEN 1 END) AS n{i}, avg({t}) AS s{i}" for i, t in enumerate(terms))
+    out = " UNION ALL ".join(f"SELECT {i} AS idx, n{i} AS n_nonzero, round(s{i},6) AS mean FROM a" for i in range(len(terms)))
     return sql(out, "sm", extra={"a": f"SELECT {agg} FROM sm CROSS JOIN (SELECT {_MEANS} FROM sm)"})
 
 
 @query("interaction_design", _interaction_sql())
 def interaction_design(spark, d):
     v = M.interaction_design(I.site_matrix(spark, d), XS)
-    return M.vector_column_totals(v, "features").select("idx", "n_nonzero", F.round("total", 4).alias("total"))
+    return M.vector_column_means(v, "features").select("idx", "n_nonzero", r6(F.col("mean"), "mean"))
 
 
 # --- masks ---------------------------------------------------------------------------------
