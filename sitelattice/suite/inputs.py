@@ -112,8 +112,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (200 + F.floor(u[2] * 20000)).alias("partner_n"), u[1].alias("u2"), u[2].alias("u3"),
         u[3].alias("u4"), v[0].alias("u5"), v[1].alias("u6"),
         (F.col("o_custkey") % 3 / 2.0).alias("frac_cross"))
-    b = b.withColumn("benefit", F.round(
-        0.02 - 0.008 * F.log10(F.col("n_target").cast("double")) + 0.03 * (F.col("u5") - 0.5), 6))
+    b = b.withColumn("benefit", 0.02 - 0.008 * F.log10(F.col("n_target").cast("double"))
+                     + 0.03 * (F.col("u5") - 0.5))
     known = F.col("u3") >= 0.04
     return b.select(
         "o_orderkey", "site", "pool", "seed", "n_target", "d_target", "n_partners",
@@ -142,17 +142,17 @@ def policy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tilt = (F.col("c_nationkey") % 7 - 3) * 0.004
     b = j.select("o_orderkey", F.col("n_name").alias("pool"), "c_nationkey",
                  F.concat(F.lit("m"), (F.col("o_orderkey") % 5).cast("string")).alias("mode"),
-                 F.round(0.1 + 0.4 * u[0], 4).alias("ap_never_merge"), tilt.alias("t"),
+                 (0.1 + 0.4 * u[0]).alias("ap_never_merge"), tilt.alias("t"),
                  *[x.alias(f"u{i + 1}") for i, x in enumerate(u)])
     b = b.where("NOT (c_nationkey = 3 AND mode = 'm4')")
     nev = F.col("ap_never_merge")
     return b.select(
         "o_orderkey", "pool", "mode", nev,
-        F.round(nev + F.col("t") + 0.02 * (F.col("u2") - 0.5), 6).alias("ap_always_merge"),
-        F.round(nev + 0.001 + 0.012 * F.col("u2"), 6).alias("ap_oracle_lambda"),
-        F.round(nev + F.col("t") * 0.3 + 0.01 * (F.col("u3") - 0.4), 6).alias("ap_blend"),
-        F.round(nev + F.col("t") * 0.5 + 0.02 * (F.col("u3") - 0.5), 6).alias("ap_fix_075"),
-        F.round(nev + F.col("t") * 0.7 + 0.02 * (F.col("u4") - 0.5), 6).alias("ap_fix_050"))
+        (nev + F.col("t") + 0.02 * (F.col("u2") - 0.5)).alias("ap_always_merge"),
+        (nev + 0.001 + 0.012 * F.col("u2")).alias("ap_oracle_lambda"),
+        (nev + F.col("t") * 0.3 + 0.01 * (F.col("u3") - 0.4)).alias("ap_blend"),
+        (nev + F.col("t") * 0.5 + 0.02 * (F.col("u3") - 0.5)).alias("ap_fix_075"),
+        (nev + F.col("t") * 0.7 + 0.02 * (F.col("u4") - 0.5)).alias("ap_fix_050"))
 
 
 def site_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ CTES = {
         FROM (SELECT *, {md5_sql('dec', 'o_orderkey')} AS h, {md5_sql('dec2', 'o_orderkey')} AS g FROM orders)
         JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey
         JOIN region ON n_regionkey=r_regionkey""",
-    "dec1": """SELECT *, round(0.02::DOUBLE-0.008::DOUBLE*log10(n_target::DOUBLE)+0.03::DOUBLE*(u5-0.5),6) AS benefit
+    "dec1": """SELECT *, 0.02::DOUBLE-0.008::DOUBLE*log10(n_target::DOUBLE)+0.03::DOUBLE*(u5-0.5) AS benefit
         FROM dec0""",
     "dec": """SELECT o_orderkey, site, pool, seed, n_target, d_target, n_partners,
         n_partners*partner_n AS n_partner_total, least(n_target,partner_n) AS n_min,
@@ -244,13 +244,13 @@ CTES = {
         round(0.8::DOUBLE*benefit+0.01::DOUBLE*(u6-0.5),6) AS lr_ensemble,
         CASE WHEN u6>=0.3 THEN round(0.02::DOUBLE*(u6-0.6::DOUBLE),6) END AS gb_pooled FROM dec1""",
     "pol": f"""SELECT o_orderkey, pool, mode, ap_never_merge,
-        round(ap_never_merge+t+0.02::DOUBLE*(u2-0.5),6) AS ap_always_merge,
-        round(ap_never_merge+0.001::DOUBLE+0.012::DOUBLE*u2,6) AS ap_oracle_lambda,
-        round(ap_never_merge+t*0.3::DOUBLE+0.01::DOUBLE*(u3-0.4::DOUBLE),6) AS ap_blend,
-        round(ap_never_merge+t*0.5::DOUBLE+0.02::DOUBLE*(u3-0.5),6) AS ap_fix_075,
-        round(ap_never_merge+t*0.7::DOUBLE+0.02::DOUBLE*(u4-0.5),6) AS ap_fix_050 FROM (
+        ap_never_merge+t+0.02::DOUBLE*(u2-0.5) AS ap_always_merge,
+        ap_never_merge+0.001::DOUBLE+0.012::DOUBLE*u2 AS ap_oracle_lambda,
+        ap_never_merge+t*0.3::DOUBLE+0.01::DOUBLE*(u3-0.4::DOUBLE) AS ap_blend,
+        ap_never_merge+t*0.5::DOUBLE+0.02::DOUBLE*(u3-0.5) AS ap_fix_075,
+        ap_never_merge+t*0.7::DOUBLE+0.02::DOUBLE*(u4-0.5) AS ap_fix_050 FROM (
         SELECT o_orderkey, n_name AS pool, c_nationkey, 'm'||CAST(o_orderkey%5 AS VARCHAR) AS mode,
-        round(0.1::DOUBLE+0.4::DOUBLE*{u_sql('h', 1)},4) AS ap_never_merge, (c_nationkey%7-3)*0.004::DOUBLE AS t,
+        0.1::DOUBLE+0.4::DOUBLE*{u_sql('h', 1)} AS ap_never_merge, (c_nationkey%7-3)*0.004::DOUBLE AS t,
         {u_sql('h', 9)} AS u2, {u_sql('h', 17)} AS u3, {u_sql('h', 25)} AS u4
         FROM (SELECT *, {md5_sql('pol', 'o_orderkey')} AS h FROM orders)
         JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey)
