@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from sitelattice.llm import bpe, packing, tokencount
+from sitelattice.llm import ann, bpe, packing, tokencount, topk, warc
 from sitelattice.llm.common import table
 
 QUERIES: dict = {}
@@ -32,7 +33,41 @@ def op2_bpe(spark, sf_dir):
                              keep=False)
 
 
+@query("op3_warc", """
+WITH own AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+sized AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM own),
+last AS (SELECT payload_digest, max(page_id) AS response FROM sized WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN response IS NULL OR page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM sized LEFT JOIN last USING (payload_digest)
+""")
+def op3_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    # the table has no capture time: one second per id from a fixed day on
+    captures = warc.capture_index(pages, F.lit(1704067200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)))
+    return captures.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"),
                                    public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_ann")
+def op9_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op10_topk", """
+WITH own AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+             FROM embeddings
+             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM own q JOIN own c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""")
+def op10_topk(spark, sf_dir):
+    return topk.largest_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
