@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sitelattice.llm import ann, bpe, packing, tokencount, topk, warc
+from sitelattice.llm import ann, bpe, langid, packing, tokencount, topk, warc
 from sitelattice.llm.common import table
 
 QUERIES: dict = {}
@@ -49,6 +49,13 @@ def op3_warc(spark, sf_dir):
     return captures.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.learn(docs, ~langid.held_out()))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "coverage")
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"),
