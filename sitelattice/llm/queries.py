@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sitelattice.llm import ann, bpe, langid, packing, tokencount, topk, warc
+from sitelattice.llm import ann, bpe, langid, packing, repeats, tokencount, topk, warc
 from sitelattice.llm.common import table
 
 QUERIES: dict = {}
@@ -56,6 +56,23 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "coverage")
 
 
+@query("op5_repeats", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM windows)
+          WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM again)),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+""")
+def op5_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"),
