@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sitelattice.llm import ann, bpe, langid, packing, repeats, tokencount, topk, warc
+from sitelattice.llm import ann, bpe, langid, nearjoin, packing, repeats, tokencount, topk, warc
 from sitelattice.llm.common import table
 
 QUERIES: dict = {}
@@ -73,6 +73,11 @@ def op5_repeats(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
 
 
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, sf_dir):
+    return nearjoin.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"),
