@@ -46,3 +46,11 @@ def per_process(key, build: Callable):
     if key not in _HELD:
         _HELD[key] = build()
     return _HELD[key]
+
+
+def step(df: DataFrame) -> DataFrame:
+    """``materialise``, then let Spark drop what led to it: shuffle files go when the driver's JVM
+    collects the plans that own them, which may otherwise be half an hour later."""
+    done = materialise(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sitelattice.llm import ann, bpe, langid, nearjoin, packing, repeats, tokencount, topk, warc
+from sitelattice.llm import ann, bpe, langid, linededup, nearjoin, packing, repeats, tokencount, topk, warc
 from sitelattice.llm.common import table
 
 QUERIES: dict = {}
@@ -84,6 +84,12 @@ def op7_token_counts(spark, sf_dir):
                                    public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op8_line_dedup")
+def op8_line_dedup(spark, sf_dir):
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op9_ann")
 def op9_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
