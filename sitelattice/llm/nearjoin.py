@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelattice.llm.chunks import opened, shut
-from sitelattice.llm.common import materialise
+from sitelattice.llm.common import step
 from sitelattice.llm.components import connected_components
 from sitelattice.llm.repeats import _mix, rolling, word_hashes
 
@@ -153,13 +153,14 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = TaskContext.get().partitionId() << 33
         for b in batches:
-            texts = [t.encode() for t in b.column(1).to_pylist()]
+            given = b.column(1).to_pylist()
+            texts = [(t or "").encode() for t in given]
             for x, y in _slices([len(t) for t in texts]):
                 value, starts = shingles(texts[x:y])
                 has = np.flatnonzero(np.diff(starts))
                 cut = np.concatenate([starts[has], starts[-1:]])
                 nodes, sigs, bands = [None] * (y - x), [None] * (y - x), [None] * (y - x)
-                packed = [None] * (y - x)
+                packed = [None if given[i] is None else shut(texts[i]) for i in range(x, y)]
                 if len(has):
                     sig, band = signatures(value, cut)
                     size = np.diff(cut).astype(np.uint64)
@@ -168,7 +169,6 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Data
                     for k, i in enumerate(has.tolist()):
                         nodes[i] = one[k].tobytes() + two[k].tobytes()
                         sigs[i], bands[i] = sig[k].tobytes(), band[k].view(np.int64)
-                        packed[i] = shut(texts[x + i])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(x, y - x), *[c.slice(x, y - x) for c in b.columns[2:]],
                      pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()),
@@ -178,10 +178,10 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Data
 
     head = [f"c{i}" for i in range(len(carry) + 1)]
     names = [*head, "node", "sig", "bands", "packed", "tag"]
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *carry)
+    rows = docs.select(F.col(id_col), F.col(text_col), *carry)
     kinds = [rows.dtypes[0][1], *[t for _, t in rows.dtypes[2:]]]
     schema = ", ".join(f"{n} {t}" for n, t in zip(head, kinds)) + ", node binary, sig binary, bands array<bigint>, packed binary, tag long"
-    return materialise(rows.toDF("c0", "t", *head[1:]).mapInArrow(run, schema))
+    return step(rows.toDF("c0", "t", *head[1:]).mapInArrow(run, schema))
 
 
 def _families(signed: DataFrame, family: float, tolerance: float) -> DataFrame:
@@ -240,7 +240,7 @@ def _links(signed: DataFrame, families: DataFrame, counts: DataFrame, threshold:
                                                         (pa.binary(), pa.int64(), pa.binary()))],
                         names=["node", "links", "parent"])
 
-    return materialise(rows.groupBy("unit").applyInArrow(run, "node binary, links long, parent binary"))
+    return step(rows.groupBy("unit").applyInArrow(run, "node binary, links long, parent binary"))
 
 
 def _block_pair(t: pa.Table, least: np.ndarray, threshold: float) -> Iterator[tuple]:
@@ -276,29 +276,42 @@ def _block_pair(t: pa.Table, least: np.ndarray, threshold: float) -> Iterator[tu
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, family: float = 0.6,
-                 id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
+                 keep_text: bool = False) -> DataFrame:
     """(id, *carry, class_id, n_links, keep) of every row: class_id is the least id of the class, n_links
     the number of other rows whose similarity is at least ``threshold``, and exactly one row of each
-    class has ``keep``, one with the least id."""
+    class has ``keep``, one with the least id. With ``keep_text`` the rows that stay have their text."""
     carry = carry or []
     head = [f"c{i}" for i in range(len(carry) + 1)]
     signed = _sign(docs, id_col, text_col, carry)
     # of each class one row stays: least id, then first in the input
     first = F.min(F.struct(F.col("c0").isNull().alias("nul"), "c0", "tag")).alias("first")
-    nodes = materialise(signed.where("node is not null").groupBy("node").agg(
+    nodes = step(signed.where("node is not null").groupBy("node").agg(
         F.count("*").alias("n"), F.min("c0").alias("least"), first))
-    families = materialise(_families(signed, family, tolerance))
+    families = step(_families(signed, family, tolerance))
     found = _links(signed, families, nodes.select("node", "n"), threshold, tolerance)
-    classes = materialise(connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b"))))
+    classes = step(connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b"))))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = materialise(nodes.join(classes, "node", "left").join(links, "node", "left").select(
+    known = step(nodes.join(classes, "node", "left").join(links, "node", "left").select(
         "node", "least", "first", F.coalesce("root", "node").alias("root"),
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     best = known.groupBy("root").agg(F.min("least").alias("class_id"), F.min("first").alias("first"))
     known = known.select("node", "root", "n_links").join(best, "root").select(
         "node", "class_id", "n_links", F.col("first.tag").alias("kept"))
-    out = signed.select(*head, "node", "tag").join(known, "node", "left").select(
+    text = ["packed"] * keep_text
+    out = signed.select(*head, "node", "tag", *text).join(known, "node", "left").select(
         *head, F.when(F.col("node").isNull(), F.col("c0")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.col("tag") == F.col("kept"), F.lit(True)).alias("keep"))
-    return out.toDF(id_col, *carry, "class_id", "n_links", "keep")
+        F.coalesce(F.col("tag") == F.col("kept"), F.lit(True)).alias("keep"), *text)
+    if not keep_text:
+        return out.toDF(id_col, *carry, "class_id", "n_links", "keep")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stays = b.column(b.num_columns - 2).to_pylist()
+            texts = [opened(p).decode() if k and p is not None else None
+                     for k, p in zip(stays, b.column(b.num_columns - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "t"])
+
+    schema = ", ".join(f"{n} {t}" for n, t in out.dtypes[:-1]) + ", t string"
+    return out.mapInArrow(unpack, schema).toDF(id_col, *carry, "class_id", "n_links", "keep", text_col)
