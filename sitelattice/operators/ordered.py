@@ -1,14 +1,14 @@
 """Ranks, running sums and quantiles that never put one whole group in one task.
 
 A window over a group that holds a third of all rows would sort that third in a single
-task. Both tools here cut every group into slices whose bounds are fixed before the rows
-move: hash order uses the leading digits of the digest, value order uses pooled quantiles.
-Rows are ordered inside a slice; a small table of slice totals supplies the offsets.
+task. Both tools here cut every group into slices: hash order uses the leading digits of the
+digest, value order the ranges of a range partitioning by (group, value), which splits a large
+group wherever its size asks for it. Rows are ordered inside a slice; a small table of slice
+totals supplies the offsets. There is one way for every size.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +17,6 @@ from sitelattice.session import materialise, slices_for
 
 _ALL = "__all"
 _SLICE = "__slice"
-# Up to this many cells in all, groups are ordered whole; beyond it, slice by slice.
-SMALL_CELLS = 100_000
 
 
 def _same(keys: list[str], left: str, right: str) -> Column:
@@ -63,17 +61,6 @@ def _earlier(keys: list[str]):
     return Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def split_points(cells: DataFrame, value: str, slices: int) -> list[float]:
-    """Pooled quantiles of ``value``: at most ``slices - 1`` doubles reach the driver.
-
-    Because they are taken over all groups together, no (group, slice) pair can hold much
-    more than ``1/slices`` of all cells, however skewed the groups are.
-    """
-    probs = [i / slices for i in range(1, slices)]
-    pts = cells.approxQuantile(value, probs, 0.25 / slices)
-    return [float("-inf"), *sorted(set(pts)), float("inf")]
-
-
 def running_by_value(df: DataFrame, groups: list[str], value: str,
                      sums: dict[str, Column], slices: int | None = None) -> DataFrame:
     """One row per (group, distinct value) with running sums in ascending value order.
@@ -87,18 +74,10 @@ def running_by_value(df: DataFrame, groups: list[str], value: str,
     names = list(sums)
     cells = base.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(
         *[F.sum(sums[m]).alias(m) for m in names])
-    cells = materialise(cells)  # read several times below
+    # written once with the range it fell into: a slice is then the same for every later reader
+    n = slices or slices_for(df.sparkSession)
+    cells = materialise(cells.repartitionByRange(n, *keys, value).withColumn(_SLICE, F.spark_partition_id()))
     before = Window.unboundedPreceding, -1
-    if cells.count() <= SMALL_CELLS:  # from the file footers; one task can order this many
-        local = Window.partitionBy(*keys).orderBy(value).rowsBetween(*before)
-        whole = Window.partitionBy(*keys)
-        return cells.select(
-            *groups, value, *names,
-            *[F.coalesce(F.sum(m).over(local), F.lit(0)).alias(f"{m}_before") for m in names],
-            *[F.sum(m).over(whole).alias(f"{m}_total") for m in names])
-    pts = split_points(cells, value, slices or slices_for(df.sparkSession))
-    cells = Bucketizer(splits=pts, inputCol=value, outputCol=_SLICE,
-                       handleInvalid="keep").transform(cells)
     per_slice = cells.groupBy(*keys, _SLICE).agg(*[F.sum(m).alias(m) for m in names])
     whole = Window.partitionBy(*keys)
     offsets = per_slice.select(
@@ -130,15 +109,18 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, out: str = "rank
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
-              weight: Column | None = None) -> DataFrame:
+              weight: Column | None = None, below: dict[str, Column] | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per (group, k) with ``p`` and ``q``.
 
     ``k`` is the index into ``probs``. Values stay distributed; only the cells that hold a
-    wanted order statistic are kept.
+    wanted order statistic are kept. For every measure ``m`` of ``below`` the row also has
+    ``m_below`` (its sum over rows strictly below ``q``) and ``m_total``: no value lies between
+    the two order statistics that ``q`` interpolates, so the same running sums tell.
     """
+    sums = below or {}
     slim = df.select(*groups, F.col(value).cast("double").alias("__v"),
-                     (weight if weight is not None else F.lit(1)).alias("__w"))
-    cells, value = running_by_value(slim, groups, "__v", {"n": F.col("__w")}), "__v"
+                     (weight if weight is not None else F.lit(1)).alias("__w"), *[c.alias(f"__m_{m}") for m, c in sums.items()])
+    cells, value = running_by_value(slim, groups, "__v", {"n": F.col("__w"), **{m: F.col(f"__m_{m}") for m in sums}}), "__v"
     wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p"))
                        for k, p in enumerate(probs)])
     hit = F.filter(wanted, lambda w: (F.ceil(w.p * (F.col("n_total") - 1)) >= F.col("n_before"))
@@ -146,12 +128,15 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
     exploded = (cells.withColumn("__w", F.explode(hit))
                 .withColumn("__pos", F.col("__w.p") * (F.col("n_total") - 1)))
     inside = lambda pos: (pos >= F.col("n_before")) & (pos < F.col("n_before") + F.col("n"))
+    at = lambda pos, c: F.max(F.when(inside(pos(F.col("__pos"))), F.col(c)))
     picked = exploded.groupBy(*groups, F.col("__w.k").alias("k"), F.col("__w.p").alias("p")).agg(
-        F.max(F.when(inside(F.floor("__pos")), F.col(value))).alias("lo"),
-        F.max(F.when(inside(F.ceil("__pos")), F.col(value))).alias("hi"),
-        F.max(F.col("__pos") - F.floor("__pos")).alias("frac"))
-    return picked.select(*groups, "k", "p",
-                         (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("q"))
+        at(F.floor, value).alias("lo"), at(F.ceil, value).alias("hi"),
+        F.max(F.col("__pos") - F.floor("__pos")).alias("frac"),
+        *[x for m in sums for x in (at(F.floor, f"{m}_before").alias(f"__lo_{m}"), at(F.ceil, f"{m}_before").alias(f"__hi_{m}"),
+                                    F.max(f"{m}_total").alias(f"{m}_total"))])
+    q = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
+    return picked.select(*groups, "k", "p", q.alias("q"), *[x for m in sums for x in (
+        F.when(q > F.col("lo"), F.col(f"__hi_{m}")).otherwise(F.col(f"__lo_{m}")).alias(f"{m}_below"), F.col(f"{m}_total"))])
 
 
 def quantile_columns(df: DataFrame, groups: list[str], value: str,

@@ -254,6 +254,7 @@ def median_support(fitted: DataFrame) -> float:
     return float(quantiles(fitted, [], "support", [0.5]).first()["q"])
 
 
+# The kappas tried by cross-validation.
 KAPPA_GRID = [0.0, 200.0, 500.0, 1_000.0, 2_000.0, 5_000.0, 10_000.0, 50_000.0, 1e6, float("inf")]
 
 

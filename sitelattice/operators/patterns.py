@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 62
-# Ancestor search ships the packed pattern table to tasks; beyond this size it joins instead.
-SHIP_BYTES = 64 << 20
 
 
 def word_names(d: int) -> list[str]:
@@ -96,46 +94,28 @@ def with_support(realised: DataFrame, d: int) -> DataFrame:
     return realised.join(supports(realised, realised, d), "pattern")
 
 
-def immediate_ancestors(patterns: DataFrame, d: int, ship_bytes: int = SHIP_BYTES) -> DataFrame:
-    """(child, parent): maximal patterns strictly inside each pattern."""
+def immediate_ancestors(patterns: DataFrame, d: int) -> DataFrame:
+    """(child, parent): maximal patterns strictly inside each pattern.
+
+    The strictly contained patterns of a child meet in one group, largest first; one that lies
+    inside a parent already found is not immediate.
+    """
     words = word_names(d)
-    n = patterns.count()
-    if n * 8 * (len(words) + 1) > ship_bytes:
-        return ancestors_by_join(patterns, d)
-    table = patterns.select("pattern", "size", *words).orderBy(
-        F.desc("size"), "pattern").toPandas()
-    keys = table["pattern"].to_numpy()
-    sizes = table["size"].to_numpy()
-    bits = table[words].to_numpy(dtype=np.int64)
-    shared = patterns.sparkSession.sparkContext.broadcast((keys, sizes, bits))
-
-    def parents(batches):
-        keys, sizes, bits = shared.value
-        for batch in batches:
-            child, parent = [], []
-            mine = batch[words].to_numpy(dtype=np.int64)
-            for key, size, row in zip(batch["pattern"], batch["size"], mine):
-                ok = (sizes < size) & ((bits & row) == bits).all(axis=1)
-                at = np.flatnonzero(ok)          # already largest first
-                while at.size:
-                    top, rest = at[0], at[1:]
-                    child.append(key)
-                    parent.append(keys[top])
-                    at = rest[((bits[rest] & bits[top]) != bits[rest]).any(axis=1)]
-            yield pd.DataFrame({"child": child, "parent": parent}, dtype=object)
-
-    return patterns.select("pattern", "size", *words).mapInPandas(
-        parents, "child string, parent string")
-
-
-def ancestors_by_join(patterns: DataFrame, d: int) -> DataFrame:
-    """The same edges for tables too large to ship: strict pairs minus two-step pairs."""
     pairs = containment(patterns, patterns, d, strict=True).select(
-        F.col("o.pattern").alias("child"), F.col("e.pattern").alias("parent"))
-    up = pairs.select(F.col("child").alias("c1"), F.col("parent").alias("mid"))
-    down = pairs.select(F.col("child").alias("mid"), F.col("parent").alias("p2"))
-    two = up.join(down, "mid").select(F.col("c1").alias("child"), F.col("p2").alias("parent"))
-    return pairs.join(two.distinct(), ["child", "parent"], "left_anti")
+        F.col("o.pattern").alias("child"), F.col("e.pattern").alias("parent"), F.col("e.size").alias("size"),
+        *[F.col(f"e.{w}").alias(w) for w in words])
+
+    def parents(group: pd.DataFrame) -> pd.DataFrame:
+        left = group.sort_values(["size", "parent"], ascending=[False, True])
+        keys, bits = left["parent"].to_numpy(), left[words].to_numpy(dtype=np.int64)
+        found, at = [], np.arange(len(keys))
+        while at.size:
+            top, at = at[0], at[1:]
+            found.append(keys[top])
+            at = at[((bits[at] & bits[top]) != bits[at]).any(axis=1)]
+        return pd.DataFrame({"child": group["child"].iloc[0], "parent": found}, dtype=object)
+
+    return pairs.groupBy("child").applyInPandas(parents, "child string, parent string")
 
 
 def most_specific(fitted: DataFrame, realised: DataFrame, d: int) -> DataFrame:

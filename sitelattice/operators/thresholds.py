@@ -5,8 +5,6 @@ Accuracies are read off running counts. Neither rows x grid nor rows x sites is
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +38,8 @@ def best_cut(df: DataFrame, groups: list[str], value: str, label: str, probs: li
     majority, lift and n.
     """
     clean = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
-    grid = quantiles(clean, groups, value, probs)
-    at = counts_below(clean, groups, value, {"n": F.lit(1), "pos": F.col(label)},
-                      grid, "q", ["k"])
+    at = quantiles(clean, groups, value, probs, below={"rows": F.lit(1), "pos": F.col(label)}).withColumnsRenamed(
+        {"rows_below": "n_below", "rows_total": "n_total"})
     n, pos = F.col("n_total"), F.col("pos_total")
     correct = F.col("pos_below") + (n - pos) - (F.col("n_below") - F.col("pos_below"))
     cand = at.withColumn("__c", _pick(correct, n, F.col("k"), directions, F.col("q"), lambda d: []))
@@ -59,6 +56,19 @@ def best_cut(df: DataFrame, groups: list[str], value: str, label: str, probs: li
         acc.alias("acc"), major.alias("majority"), (acc - major).alias("lift"), "n")
 
 
+def _last_at_or_below(starts: DataFrame, points: DataFrame, feature: str, value: str, carry: list[str]) -> DataFrame:
+    """``points`` (feature, at, carry) with the ``value`` of the last start below ``at``: starts and points
+    share one order, in which a point's cell is the running maximum of what came before."""
+    run = running_by_value(
+        starts.select(feature, F.col("start").alias("__x"), F.lit(1).alias("c")).unionByName(
+            points.select(feature, F.col("at").alias("__x"), F.lit(0).alias("c"))), [feature], "__x", {"c": F.col("c")})
+    seen = materialise(run)
+    index = seen.where("c > 0").select(feature, (F.col("c_before") + 1).alias("__no"), F.col("__x").alias("start")).join(
+        starts, [feature, "start"]).select(feature, "__no", value)
+    asked = seen.where("c = 0").select(feature, F.col("__x").alias("at"), F.col("c_before").alias("__no"))
+    return points.join(asked, [feature, "at"]).join(index, [feature, "__no"]).select(feature, *carry, value)
+
+
 def loso_accuracy(long: DataFrame, feature: str, site: str, value: str, label: str,
                   probs: list[float], min_train: int = 10,
                   directions: tuple[str, ...] = ("lt", "ge")) -> DataFrame:
@@ -70,11 +80,15 @@ def loso_accuracy(long: DataFrame, feature: str, site: str, value: str, label: s
     rows = materialise(long.where(F.col(value).isNotNull() & F.col(label).isNotNull()).groupBy(
         feature, site, F.col(value).cast("double").alias(value)).agg(
         F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")))
-    measures = {"n": F.col("n"), "pos": F.col("pos")}
-    cells = rows.groupBy(feature, value).agg(F.sum("n").alias("n"))
-    overall = running_by_value(cells, [feature], value, {"n": F.col("n"), "c": F.lit(1)})
-    own = running_by_value(rows, [feature, site], value, {"n": F.col("n")})
-    overall = materialise(overall)  # read three times; feature and value are never NULL here
+    # every pass carries the overall counts and each site's own ones, told apart by a flag
+    twice = lambda df: df.withColumn("__all", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "__site", F.when(~F.col("__all"), F.col(site)))
+    group = [feature, "__all", "__site"]
+    run = materialise(running_by_value(twice(rows), group, value, {"n": F.col("n"), "c": F.lit(1)}))
+    own = run.where(~F.col("__all")).withColumn(site, F.col("__site"))
+    overall = run.where("__all")
+    # a value counts once overall, whatever the number of sites that have it
+    overall = overall.select(feature, value, "n", "n_before", "n_total")
     both = own.alias("w").join(overall.alias("a"), (F.col(f"w.{feature}") == F.col(f"a.{feature}"))
                                & (F.col(f"w.{value}") == F.col(f"a.{value}"))).select(
         f"w.{feature}", f"w.{site}", F.col("w.n").alias("n"),
@@ -89,18 +103,18 @@ def loso_accuracy(long: DataFrame, feature: str, site: str, value: str, label: s
         F.struct(F.lit(k).alias("k"), (p - F.floor(p)).alias("frac"), F.lit(side).alias("side"),
                  (edge(p) + F.col(f"{side}{k}") + 0.5).alias("at"))
         for k, p in enumerate(pos) for side, edge in (("lo", F.floor), ("hi", F.ceil))])))
-    starts = overall.select(feature, F.col("n_before").cast("double").alias("start"))
-    found = counts_below(starts, [feature], "start", {"c": F.lit(1)}, grid, "at",
-                         [site, "k", "frac", "side"])
-    index = overall.select(feature, (F.col("c_before") + 1).alias("c_below"), value)
-    cuts = found.join(index, [feature, "c_below"]).groupBy(feature, site, "k").agg(
+    # the cell that holds order statistic r is the last whose running count starts at or below r
+    starts = overall.select(feature, F.col("n_before").cast("double").alias("start"), value)
+    found = _last_at_or_below(starts, grid, feature, value, [site, "k", "frac", "side"])
+    cuts = found.groupBy(feature, site, "k").agg(
         F.max(F.when(F.col("side") == "lo", F.col(value))).alias("lo"),
         F.max(F.when(F.col("side") == "hi", F.col(value))).alias("hi"),
         F.max("frac").alias("frac")).select(
         feature, site, "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("t"))
     cuts = materialise(cuts)
-    a = counts_below(rows, [feature], value, measures, cuts, "t", [site, "k"])
-    o = counts_below(rows, [feature, site], value, measures, cuts, "t", ["k"])
+    below = materialise(counts_below(twice(rows), group, value, {"n": F.col("n"), "pos": F.col("pos")},
+                                     twice(cuts), "t", [site, "k"]))
+    a, o = below.where("__all"), below.where(~F.col("__all"))
     keys = [feature, site, "k"]
     j = a.alias("a").join(o.alias("o"), _same(keys, "a", "o"))
     col = lambda s, c: F.col(f"{s}.{c}")
@@ -190,10 +204,10 @@ def pool_law(decisions: DataFrame, pool: str, harm_n: float = 5000.0) -> DataFra
     base = decisions.groupBy(pool).agg(
         F.avg((F.col("n_target") > harm_n).cast("double")).alias("harm"),
         F.avg("helped").alias("helped"), F.count(F.lit(1)).alias("n"))
-    cuts = [best_cut(decisions, [pool], v, "helped", linspace(0.05, 0.95, 37), ("lt", "ge"),
-                     min_rows=50, both_classes=False).select(pool, F.col("acc").alias("a"))
-            for v in ("epv_target", "n_target")]
-    acc = reduce(DataFrame.unionByName, cuts).groupBy(pool).agg(F.max("a").alias("best"))
+    long = long_features(decisions, [pool, "helped"], ["epv_target", "n_target"])
+    cuts = best_cut(long, [pool, "feature"], "value", "helped", linspace(0.05, 0.95, 37), ("lt", "ge"),
+                    min_rows=50, both_classes=False)
+    acc = cuts.groupBy(pool).agg(F.max("acc").alias("best"))
     triv = F.greatest(F.col("helped"), 1 - F.col("helped"))
     return (base.join(acc, pool, "left").join(crossing_size(decisions, pool), pool, "left")
             .select(pool, "harm", (F.coalesce("best", F.lit(-1.0)) - triv).alias("lift"),

@@ -30,7 +30,6 @@ def ship_package(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options every operator assumes (all are session-level)."""
     ship_package(spark)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -64,5 +63,6 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def slices_for(spark: SparkSession) -> int:
-    """How many value ranges an ordered computation is cut into: a few per shuffle task."""
-    return max(8, min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """How many ranges an ordered computation is cut into: one per shuffle task, so that ranges
+    stay the same size as the cluster's setting follows the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,37 +4,64 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def files_by_header(spark: SparkSession, paths) -> dict[str, list[str]]:
+    """Header line -> files that begin with it; one distributed pass over the files' lines.
+
+    The driver holds a path per file, as it does to plan any scan of them.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
+    return {r["header"]: r["files"] for r in found.collect()}
+
+
+def _by_name(spark: SparkSession, paths, wanted) -> DataFrame:
+    """Files stacked by column name, those of one header read together; strings."""
+    parts = []
+    for files in files_by_header(spark, paths).values():
+        raw = spark.read.option("header", True).option("escape", '"').csv(files)
+        parts.append(raw.select(*[F.col(f"`{c}`") for c in raw.columns if wanted(c)]))
+    if not parts:
+        return spark.read.option("header", True).option("escape", '"').csv(paths)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_csv(spark: SparkSession, paths, columns: dict[str, str]) -> DataFrame:
-    """Declared columns of CSV files with a header, cast to declared types.
+    """Declared columns of CSV files with a header, matched by name and cast to declared types.
 
-    Nothing is inferred; unparseable values become NULL and other columns are pruned.
+    Nothing is inferred; unparseable values become NULL, as does a column that a file lacks, and
+    other columns are pruned. The files may order their columns differently.
     """
-    raw = spark.read.option("header", True).option("escape", '"').csv(paths)
-    return raw.select(*[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in columns.items()])
+    raw = _by_name(spark, paths, lambda c: c in columns)
+    return raw.select(*[(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).try_cast(t).alias(c)
+                        for c, t in columns.items()])
 
 
 def read_csv_with_banner(spark: SparkSession, paths, header: list[str]) -> DataFrame:
     """Same-schema files stacked, some with a notes line above the header.
 
-    The column names are known, so header rows and one-column banners are filtered out.
+    The column names are known: a line with another number of fields is a banner, a line that
+    repeats the names is a header.
     """
     schema = ", ".join(f"`{h}` string" for h in header)
-    raw = spark.read.schema(schema).option("header", False).option("escape", '"').csv(paths)
-    banner = F.lit(True)
-    for h in header[1:]:
-        banner = banner & F.col(f"`{h}`").isNull()
-    return raw.where(~banner & ~F.coalesce(F.col(f"`{header[1]}`") == header[1], F.lit(False)))
+    fields = F.size(F.split(F.regexp_replace("value", r'"(?:[^"]|"")*"', ""), ",", -1))
+    lines = spark.read.text(paths).where(fields == len(header))
+    rows = lines.select(F.from_csv("value", schema, {"escape": '"'}).alias("r")).select("r.*")
+    named = reduce(lambda a, b: a & b, [F.col(f"`{h}`").eqNullSafe(F.lit(h)) for h in header])
+    return rows.where(~named)
 
 
 def read_csv_union(spark: SparkSession, pattern: str, wanted) -> DataFrame:
-    """All files of a glob, keeping the columns ``wanted(name)`` accepts, as strings."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(pattern)
-    return raw.select(*[c for c in raw.columns if wanted(c)])
+    """All files of a glob by column name, keeping the columns ``wanted(name)`` accepts, as strings."""
+    return _by_name(spark, pattern, wanted)
 
 
 def read_delimited(spark: SparkSession, paths, names: list[str], needed: int, sep: str = "|") -> DataFrame:

@@ -282,6 +282,7 @@ def pool_floor_sets(spark, d):
 _FILE = """CASE WHEN o_orderkey%11 IN (0,1) THEN 'gate_'||{k} WHEN o_orderkey%11=2 THEN 'lam_'||{k} WHEN o_orderkey%11 IN (3,4) THEN 'cut_'||{k}
  WHEN o_orderkey%11=5 THEN 'dp_'||{k} ELSE 'site_rules_'||{k} END"""
 _FILES = f"""SELECT file, count(*) AS n FROM (SELECT {_FILE.format(k="CAST(o_custkey%4 AS VARCHAR)||'.csv'")} AS file FROM orders) GROUP BY 1"""
+# Prefixes of the files that one condition of the census covers.
 COND = r"^(dp_|calib_|gate_|lam_|cut_|local_tuning|site_rules_ext|site_rules_recalib)"
 
 
@@ -420,8 +421,13 @@ def cochran_q(spark, d):
     return q.select("var", F.round("q", 5).alias("q"), "df", r6(F.col("i2"), "i2"))
 
 
-@query("heterogeneity_summary", sql("""SELECT round(median(q),5) AS q_median, round(avg(q),5) AS q_mean,
- round(median(CASE WHEN q>0 THEN greatest(0,(q-df)/q) ELSE 0 END),6) AS i2_median, round(avg(CASE WHEN q>3.84 THEN 1.0 ELSE 0 END),6) AS share_over FROM cq""", "cf", extra=_CQ))
+# 5 % chi-square cuts for 1 to 24 degrees of freedom, as printed in tables.
+_CHI2 = ("3.841,5.991,7.815,9.488,11.070,12.592,14.067,15.507,16.919,18.307,19.675,21.026,22.362,23.685,24.996,26.296,"
+         "27.587,28.869,30.144,31.410,32.671,33.924,35.172,36.415")
+
+
+@query("heterogeneity_summary", sql(f"""SELECT round(median(q),5) AS q_median, round(avg(q),5) AS q_mean,
+ round(median(CASE WHEN q>0 THEN greatest(0,(q-df)/q) ELSE 0 END),6) AS i2_median, round(avg(CASE WHEN q>[{_CHI2}][df] THEN 1.0 ELSE 0 END),6) AS share_over FROM cq""", "cf", extra=_CQ))
 def heterogeneity_summary(spark, d):
     h = MG.heterogeneity_summary(MG.cochran_q(materialise(I.site_coefficients(spark, d)), []), [])
     return h.select(F.round("q_median", 5).alias("q_median"), F.round("q_mean", 5).alias("q_mean"),

@@ -22,19 +22,11 @@ MISS_POS = [0.05, 0.14, 0.10, 0.21, 0.10, 0.26, 0.12, 0.24]
 ROW_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-SPREAD_BY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A fact file with fewer row groups than cores is spread before row work;
-    a table of many files is read as it is."""
+    """A given table, read as it is; the registered queries reckon times in UTC."""
     prepare(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in SPREAD_BY:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores, SPREAD_BY[name])
-    return df
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _row_id() -> F.Column:
@@ -283,7 +275,7 @@ def sql(body: str, *ctes: str, extra: dict[str, str] | None = None, recursive: b
     for c in ctes:
         add(c)
     parts = [f"{c} AS MATERIALIZED ({CTES[c]})" for c in order]
-    parts += [f"{k} AS ({v})" for k, v in (extra or {}).items()]
+    parts += [f"{k} AS {'' if recursive else 'MATERIALIZED '}({v})" for k, v in (extra or {}).items()]
     if not parts:
         return body
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body

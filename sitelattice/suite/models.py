@@ -103,9 +103,9 @@ def shrink_coordinatewise(spark, d):
     return s.select("pattern", "var", "kappa", r6(F.col("value"), "value"))
 
 
-_COVER = """SELECT row_id, round(least(greatest(sum({w}*p)/sum({w}),1e-6),1-1e-6),6) AS p, count(*) AS n_models FROM (
- SELECT row_id, support, 1/(1+exp(-(b+{z}))) AS p FROM ud2 JOIN (SELECT o.pattern, e.pattern AS member FROM pat o JOIN fit e ON e.bits & o.bits = e.bits) USING (pattern)
- JOIN (SELECT pattern AS member, any_value(support) AS support, """ + ", ".join(
+_COVER = """SELECT row_id, round(least(greatest(coalesce(sum({w}*p)/sum(CASE WHEN p IS NOT NULL THEN {w} END),0.5),1e-6),1-1e-6),6) AS p, count(p) AS n_models FROM (
+ SELECT row_id, support, 1/(1+exp(-(b+{z}))) AS p FROM ud2 LEFT JOIN (SELECT o.pattern, e.pattern AS member FROM pat o JOIN fit e ON e.bits & o.bits = e.bits) USING (pattern)
+ LEFT JOIN (SELECT pattern AS member, any_value(support) AS support, """ + ", ".join(
     f"max(CASE WHEN var={j} THEN value END) AS t{j}" for j in range(5)) + """, max(CASE WHEN var=-1 THEN value END) AS b FROM {src} GROUP BY 1) USING (member)
  CROSS JOIN (SELECT """ + ", ".join(f"avg(x{j}) AS m{j}, stddev_pop(x{j}) AS d{j}" for j in range(5)) + " FROM ud)) GROUP BY 1"
 _ZED = "+".join(f"coalesce(t{j}*(x{j}-m{j})/d{j},0)" for j in range(5))
@@ -114,7 +114,7 @@ _ZED = "+".join(f"coalesce(t{j}*(x{j}-m{j})/d{j},0)" for j in range(5))
 def _cover_query(spark, d, theta, u, fit, weighted):
     mu, sd = PM.observed_scaler(u, DAY)
     p = PM.cover_predict(u, DAY, theta, fit, 0.5, mu, sd, weighted)
-    return p.where("n_models > 0").select("row_id", r6(F.col("p"), "p"), F.col("n_models").cast("bigint").alias("n_models"))
+    return p.select("row_id", r6(F.col("p"), "p"), F.col("n_models").cast("bigint").alias("n_models"))
 
 
 @query("cover_predict", sql(_COVER.format(w="support", z=_ZED, src="(SELECT * FROM s5 WHERE kappa=100)"), "ud", extra={**_PAT, **_shrink_ctes([100.0])}))

@@ -78,12 +78,6 @@ def pattern_ancestors(spark, d):
     return PT.immediate_ancestors(fit, 8)
 
 
-@query("pattern_ancestors_by_join", sql("SELECT child, parent FROM edge", "ud", extra=pat_ctes("ud", 5, 30)))
-def pattern_ancestors_by_join(spark, d):
-    _, fit = fitted_patterns(I.user_day(spark, d), DAY)
-    return PT.ancestors_by_join(fit, 5)
-
-
 @query("row_assignment", sql("""SELECT pattern, n, assigned FROM pat LEFT JOIN (
  SELECT o.pattern, first(e.pattern ORDER BY e.size DESC, e.vars) AS assigned FROM pat o JOIN fit e ON e.bits & o.bits = e.bits
  GROUP BY 1) USING (pattern)""", "sm", extra=pat_ctes("sm", 8, 400)))

@@ -112,16 +112,26 @@ EXCLUDED = ["gleason", "stage", "grade", "morphology", "topography", "behavior",
             "reasoth", "mortality", "dth", "is_dead", "histtype", "carcinoid", "cancer_site",
             "cancersite", "diagdays", "seer", "death", "exitdays", "num_canc", "ccsub",
             "case_study", "caseset", "25k", "eligible_population", "pros_cancer", "lung_cancer",
-            "colo_cancer", "ovar_cancer", "appendix_cancer", "fstcan"]
+            "colo_cancer", "ovar_cancer", "appendix_cancer", "fstcan", "_dqx", "_dhq", "_sqx", "_muq",
+            "psa_level3", "psa_level4", "psa_level5", "psa_days3", "psa_days4", "psa_days5", "dre_days3",
+            "ca125_level5", "ca125ii_level5", "ca125_days5", "reconsent", "iaden", "gwas"]
 # Digit endings that mark a follow-up screening round.
 FOLLOWUP_ROUNDS = ["1", "2", "3", "4", "5", "35"]
 
 
-@query("name_exclusion", sql("""
-SELECT p_partkey, p_name, (contains(lower(p_name),'ring') OR contains(lower(p_name),'gear')) AS excluded FROM part"""))
+_FRAGMENTS = ", ".join(f"'{f}'" for f in EXCLUDED)
+
+
+@query("name_exclusion", sql(f"""
+WITH named AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name
+ ELSE upper('x' || [{_FRAGMENTS}][1 + p_partkey % {len(EXCLUDED)}]) || '_' || p_name END AS label FROM part)
+SELECT p_partkey, label, len(list_filter([{_FRAGMENTS}], lambda f: contains(lower(label), f))) > 0 AS excluded FROM named"""))
 def name_exclusion(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", "p_name", excluded_name(F.col("p_name"), ["ring", "gear"]).alias("excluded"))
+    picked = F.element_at(F.array(*map(F.lit, EXCLUDED)), (1 + F.col("p_partkey") % len(EXCLUDED)).cast("int"))
+    label = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(
+        F.concat(F.upper(F.concat(F.lit("x"), picked)), F.lit("_"), F.col("p_name")))
+    return p.select("p_partkey", label.alias("label")).withColumn("excluded", excluded_name(F.col("label")))
 
 
 def excluded_name(name, fragments=EXCLUDED):

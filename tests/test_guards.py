@@ -9,6 +9,7 @@ from sitelattice.functions import scalars as S
 from sitelattice.operators import decisions as D
 from sitelattice.operators import leakage as L
 from sitelattice.operators import matrix as M
+from sitelattice.operators import merging as MG
 from sitelattice.operators import partners as PA
 from sitelattice.operators import ranktests as RT
 from sitelattice.operators import sampling as P
@@ -68,12 +69,50 @@ def test_matrix_store_keys_every_parameter(spark, tmp_path):
         R.load_site_matrix(spark, str(tmp_path), "m", {"floor": 2})
 
 
-def test_offset_reaches_the_rate():
-    a = M.offset_for_rate(0.3, 1.5, 70, 30)
-    sig = lambda v: 1 / (1 + math.exp(-v))
-    assert 0.7 * sig(a) + 0.3 * sig(a + 1.5) == pytest.approx(0.3, abs=1e-12)
+@pytest.mark.parametrize("rate, beta, neg, pos", [(0.3, 1.5, 70, 30), (0.9, -2.0, 10, 90), (0.01, 0.0, 5, 5), (0.5, 6.0, 99, 1),
+                                                  (0.2, 1.0, 0, 8), (0.2, 1.0, 8, 0)])
+def test_chances_reach_the_rate_and_differ_by_beta(rate, beta, neg, pos):
+    a, b = M.missing_chances(rate, beta, neg, pos)
+    assert (neg * a + pos * b) / (neg + pos) == pytest.approx(rate, abs=1e-12)
+    logit = lambda v: math.log(v / (1 - v))
+    assert logit(b) - logit(a) == pytest.approx(beta, abs=1e-9)
+
+
+def test_chance_corners():
+    assert M.missing_chances(0.0, 2.0, 3, 4) == (0.0, 0.0)
     with pytest.raises(ValueError):
-        M.offset_for_rate(1.0, 0.0, 1, 1)
+        M.missing_chances(1.0, 0.0, 1, 1)
+
+
+def test_recorded_variables_share_a_core_and_rotate(spark):
+    sites = spark.range(7).select(F.col("id").cast("int").alias("no"))
+    got = {r["no"]: set(r["recorded"]) for r in M.recorded_variables(sites, "no", 10, 0.4).collect()}
+    for no, seen in got.items():
+        start = 4 + (no * 3) % 6
+        assert seen == {j for j in range(10) if j < 4 or start <= j < start + 3}
+    assert all(len(r["recorded"]) == 5 for r in M.recorded_variables(sites, "no", 5, 1.0).collect())
+
+
+def test_chi_square_cuts(spark):
+    want = {1: 3.841459, 2: 5.991465, 5: 11.070498, 24: 36.415029, 100: 124.342113, 101: 125.458419, 500: 553.126810}
+    df = spark.createDataFrame([(k,) for k in want], "k long")
+    for r in df.select("k", MG.chi2_cut(F.col("k")).alias("c")).collect():
+        assert r["c"] == pytest.approx(want[r["k"]], rel=1e-4)
+
+
+def test_csv_matches_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b,c\n1,2,3\n")
+    (tmp_path / "b.csv").write_text('c,x,a\n30,"9,9",10\n31,,\n')
+    got = R.read_csv(spark, str(tmp_path), {"a": "int", "b": "int", "c": "int"}).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 2, 3), (10, None, 30), (None, None, 31)], key=repr)
+    got = R.read_csv_union(spark, f"{tmp_path}/*.csv", lambda c: c in ("a", "x")).select("a", "x").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("1", None), ("10", "9,9"), (None, None)], key=repr)
+
+
+def test_banner_is_told_by_its_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Notes offered\nk,v,w\n1,,\n2,"x, y",3\n')
+    got = R.read_csv_with_banner(spark, str(tmp_path), ["k", "v", "w"]).collect()
+    assert sorted(map(tuple, got)) == [("1", None, None), ("2", "x, y", "3")]
 
 
 def test_privacy_budgets():
@@ -92,9 +131,10 @@ def test_subsets_are_distinct_members(spark):
 
 def test_containment_needs_listing_and_grouping(spark):
     s = spark.createDataFrame([(f"{a}{b}", 1, [1]) for a in "xyz" for b in "12"], "site string, n int, vars array<int>")
-    assert PA.has_containment("m", s, 1, {"m": 1})
-    assert not PA.has_containment("other", s, 1, {"m": 1})
-    assert not PA.has_containment("m", s, 2, {"m": 2})
+    found = lambda name, listed: [tuple(r) for r in PA.nestings(s, name, listed).collect()]
+    assert found("m", {"m": 1, "n": 2}) == [("m", 1, 3, 3)]
+    assert found("other", {"m": 1}) == []
+    assert found("m", {"m": 2}) == []
 
 
 def test_permutation_keeps_sizes(spark):

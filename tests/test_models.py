@@ -106,10 +106,9 @@ def test_federated_round_equals_numpy(df, frame):
     assert np.allclose(snaps[2], w, atol=1e-9)
 
 
-def test_ancestor_paths_agree(patterns):
+def test_ancestors_are_immediate(patterns):
     _, fit, edges = patterns
     key = lambda d: sorted(map(tuple, d.select("child", "parent").collect()))
-    assert key(edges) == key(PT.immediate_ancestors(fit, 4, ship_bytes=0))
     sets = {r["pattern"]: frozenset(r["vars"]) for r in fit.collect()}
     want = []
     for e, se in sets.items():

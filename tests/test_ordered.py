@@ -11,9 +11,9 @@ from sitelattice.operators import ordered as O
 from sitelattice.operators import thresholds as T
 
 
-@pytest.fixture(params=[0, 100_000], ids=["sliced", "whole"])
+@pytest.fixture(params=[3, 29], ids=["few", "many"])
 def path(request, monkeypatch):
-    monkeypatch.setattr(O, "SMALL_CELLS", request.param)
+    monkeypatch.setattr(O, "slices_for", lambda spark: request.param)
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def test_hash_row_number_equals_window(skewed):
 
 @pytest.mark.parametrize("groups", [["g"], []])
 def test_running_sums_equal_window(skewed, path, groups):
-    got = O.running_by_value(skewed, groups, "v", {"n": F.lit(1), "y": F.col("y")}, slices=7)
+    got = O.running_by_value(skewed, groups, "v", {"n": F.lit(1), "y": F.col("y")})
     p = skewed.toPandas()
     p["g"] = p["g"].astype(object).where(p["g"].notna(), None)
     want = {}
