@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitelattice.functions.scalars import EPS, clip, logit
 from sitelattice.operators.ordered import running_by_value
+from sitelattice.session import materialise
 
 # Two-sided 95 % Student t quantiles by degrees of freedom 1..30.
 T975 = [12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004,
@@ -64,88 +65,70 @@ def calibration_cells(df: DataFrame, groups: list[str], y: str, p: str) -> DataF
             .groupBy(*groups, "__l").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos")))
 
 
+def _newton_by_group(cells: DataFrame, start: DataFrame, groups: list[str], advance, steps: int) -> DataFrame:
+    """Repeat ``advance(cells joined with the state)`` until no group moves by 1e-10.
+
+    The state (groups, parameters, ``moved``) is a table, written after each step; only the
+    largest move reaches the driver. Groups that still move after ``steps`` have a larger ``moved``.
+    """
+    state = materialise(start.withColumn("moved", F.lit(float("inf"))))
+    for _ in range(steps):
+        cond = F.lit(True)
+        for g in groups:
+            cond = cond & F.col(f"c.{g}").eqNullSafe(F.col(f"t.{g}"))
+        extra = [c for c in state.columns if c not in groups]
+        met = cells.alias("c").join(state.alias("t"), cond).select("c.*", *[F.col(f"t.{c}") for c in extra])
+        state = materialise(advance(met))
+        if (state.agg(F.max("moved")).first()[0] or 0.0) < 1e-10:
+            break
+    return state.withColumn("converged", F.col("moved") < 1e-10)
+
+
 def calibration_line(df: DataFrame, groups: list[str], y: str = "y", p: str = "p",
                      c: float = math.inf, steps: int = 25) -> DataFrame:
     """Slope and intercept of y on logit(p); penalty ``0.5*slope^2 + C*loss`` if C is finite.
 
-    Newton steps run on the collapsed score cells, one aggregate per step; the per-group
-    parameters are two doubles and travel as a joined table.
+    Newton steps on the collapsed score cells, for all groups in one job a step; ``converged``
+    tells whether the last step moved by less than 1e-10. A group of one class is left out.
     """
     ridge = 0.0 if math.isinf(c) else 1.0 / c
-    cells = calibration_cells(df, groups, y, p).persist()
-    theta = cells.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("n").alias("N")).where(
+    cells = materialise(calibration_cells(df, groups, y, p))
+    start = cells.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("n").alias("N")).where(
         (F.col("P") > 0) & (F.col("P") < F.col("N"))).select(
         *groups, F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    rows = {tuple(r[g] for g in groups): (0.0, 0.0) for r in theta.select(*groups).collect()}
-    spark = df.sparkSession
-    schema = theta.schema
-    for _ in range(steps):
-        if not rows:
-            break
-        now = spark.createDataFrame([(*k, *v) for k, v in rows.items()], schema)
-        cond = F.lit(True)
-        for g in groups:
-            cond = cond & F.col(f"c.{g}").eqNullSafe(F.col(f"t.{g}"))
-        z = clip(F.col("a") + F.col("b") * F.col("__l"), -35, 35)
-        q = 1.0 / (1.0 + F.exp(-z))
-        w = F.col("n") * q * (1 - q)
-        r = F.col("pos") - F.col("n") * q
-        sums = cells.alias("c").join(now.alias("t"), cond).groupBy(
-            *[F.col(f"c.{g}") for g in groups]).agg(
-            F.first("a").alias("a"), F.first("b").alias("b"),
-            F.sum(r).alias("g0"), F.sum(r * F.col("__l")).alias("g1"), F.sum(w).alias("h0"),
-            F.sum(w * F.col("__l")).alias("h1"),
-            F.sum(w * F.col("__l") * F.col("__l")).alias("h2")).collect()
-        moved = 0.0
-        for s in sums:
-            g1, h2 = s["g1"] - ridge * s["b"], s["h2"] + ridge
-            det = s["h0"] * h2 - s["h1"] ** 2
-            if det <= 1e-12:
-                continue
-            da = (s["g0"] * h2 - g1 * s["h1"]) / det
-            db = (g1 * s["h0"] - s["g0"] * s["h1"]) / det
-            rows[tuple(s[g] for g in groups)] = (s["a"] + da, s["b"] + db)
-            moved = max(moved, abs(da), abs(db))
-        if moved < 1e-10:
-            break
-    cells.unpersist()
-    fitted = spark.createDataFrame([(*k, *v) for k, v in rows.items()], schema)
-    return fitted.select(*groups, F.col("b").alias("slope"), F.col("a").alias("intercept"))
+
+    def advance(met: DataFrame) -> DataFrame:
+        q = 1.0 / (1.0 + F.exp(-clip(F.col("a") + F.col("b") * F.col("__l"), -35, 35)))
+        w, r, x = F.col("n") * q * (1 - q), F.col("pos") - F.col("n") * q, F.col("__l")
+        sums = met.groupBy(*groups, "a", "b").agg(
+            F.sum(r).alias("g0"), (F.sum(r * x) - ridge * F.col("b")).alias("g1"), F.sum(w).alias("h0"),
+            F.sum(w * x).alias("h1"), (F.sum(w * x * x) + ridge).alias("h2"))
+        det = F.col("h0") * F.col("h2") - F.pow("h1", F.lit(2.0))
+        solve = lambda e: F.when(det > 1e-12, F.expr(e) / det).otherwise(0.0)
+        moved = sums.withColumn("da", solve("g0 * h2 - g1 * h1")).withColumn("db", solve("g1 * h0 - g0 * h1"))
+        return moved.select(*groups, (F.col("a") + F.col("da")).alias("a"), (F.col("b") + F.col("db")).alias("b"),
+                            F.greatest(F.abs("da"), F.abs("db")).alias("moved"))
+
+    fitted = _newton_by_group(cells, start, groups, advance, steps)
+    return fitted.select(*groups, F.col("b").alias("slope"), F.col("a").alias("intercept"), "converged")
 
 
 def calibration_in_the_large(df: DataFrame, groups: list[str], y: str = "y", p: str = "p",
                              steps: int = 200) -> DataFrame:
-    """Intercept shift at fixed slope: Newton damped to +-1 and bounded at +-20."""
-    cells = calibration_cells(df, groups, y, p).persist()
-    spark = df.sparkSession
-    base = cells.select(*groups).distinct()
-    shift = {tuple(r): 0.0 for r in base.collect()}
-    live = dict(shift)
-    schema = base.withColumn("s", F.lit(0.0)).schema
-    for _ in range(steps):
-        if not live:
-            break
-        now = spark.createDataFrame([(*k, v) for k, v in live.items()], schema)
-        cond = F.lit(True)
-        for g in groups:
-            cond = cond & F.col(f"c.{g}").eqNullSafe(F.col(f"t.{g}"))
-        q = 1.0 / (1.0 + F.exp(-clip(F.col("__l") + F.col("s"), -35, 35)))
-        sums = cells.alias("c").join(now.alias("t"), cond).groupBy(
-            *[F.col(f"c.{g}") for g in groups]).agg(
-            F.sum(F.col("pos") - F.col("n") * q).alias("g"),
-            F.sum(F.col("n") * q * (1 - q)).alias("h")).collect()
-        for r in sums:
-            k = tuple(r[g] for g in groups)
-            if r["h"] < 1e-8:
-                live.pop(k)
-                continue
-            step = min(max(r["g"] / r["h"], -1.0), 1.0)
-            live[k] = shift[k] = min(max(shift[k] + step, -20.0), 20.0)
-            if abs(step) < 1e-10:
-                live.pop(k)
-    cells.unpersist()
-    return spark.createDataFrame([(*k, v) for k, v in shift.items()], schema).withColumnRenamed(
-        "s", "shift")
+    """Intercept shift at fixed slope: Newton damped to +-1 and bounded at +-20, with ``converged``."""
+    cells = materialise(calibration_cells(df, groups, y, p))
+
+    def advance(met: DataFrame) -> DataFrame:
+        q = 1.0 / (1.0 + F.exp(-clip(F.col("__l") + F.col("shift"), -35, 35)))
+        sums = met.groupBy(*groups, "shift").agg(F.sum(F.col("pos") - F.col("n") * q).alias("g"),
+                                                 F.sum(F.col("n") * q * (1 - q)).alias("h"))
+        step = F.when(F.col("h") < 1e-8, 0.0).otherwise(clip(F.col("g") / F.col("h"), -1.0, 1.0))
+        to = clip(F.col("shift") + step, -20.0, 20.0)
+        # at a bound the shift stays, however long the step
+        return sums.select(*groups, to.alias("shift"), F.abs(to - F.col("shift")).alias("moved"))
+
+    start = cells.select(*groups).distinct().withColumn("shift", F.lit(0.0))
+    return _newton_by_group(cells, start, groups, advance, steps).select(*groups, "shift", "converged")
 
 
 def expected_calibration_error(df: DataFrame, groups: list[str], y: str = "y", p: str = "p",

@@ -127,7 +127,7 @@ def ensemble(scored: DataFrame, ids: list[str], y: str) -> DataFrame:
 
 def recalibrated(scored: DataFrame, site: str, y: str, p: str) -> DataFrame:
     """(site, shift): intercept refitted on the site's own rows, coefficients fixed."""
-    return calibration_in_the_large(scored, [site], y, p)
+    return calibration_in_the_large(scored, [site], y, p).drop("converged")
 
 
 def pooled_fit(df: DataFrame, y: str, xs: list[str], c: float = 1.0, indicators: bool = True):

@@ -192,7 +192,7 @@ def method_table(scores: DataFrame, y: str) -> DataFrame:
     """Per (method, decision) discrimination, Brier and calibration slope."""
     s = materialise(scores)
     m = score_metrics(s, ["method", "decision"], y)
-    c = calibration_line(s, ["method", "decision"], y).withColumnRenamed("slope", "calibration_slope")
+    c = calibration_line(s, ["method", "decision"], y).drop("converged").withColumnRenamed("slope", "calibration_slope")
     return m.join(c.select("method", "decision", "calibration_slope"), ["method", "decision"], "left")
 
 
