@@ -126,6 +126,17 @@ def spread_stations(features: DataFrame, station: str, feature: str, n_obs: str,
 
 
 def align_vocabulary(labels: DataFrame, source: str, code: str, label: Column) -> DataFrame:
-    """(label, codes per source count, shared): labels normalised and matched across sources."""
-    return labels.select(F.col(source).alias("source"), label.alias("label")).distinct().groupBy(
-        "label").agg(F.count(F.lit(1)).alias("n_sources"))
+    """Rename map (source, code, label, n_sources, shared): every code of every source with the
+    normalised label that names it in all of them; ``shared`` labels occur in every source."""
+    named = labels.select(F.col(source).alias("source"), F.col(code).alias("code"), label.alias("label")).distinct()
+    where = named.groupBy("label").agg(F.count_distinct("source").alias("n_sources"))
+    sources = named.agg(F.count_distinct("source").alias("__all"))
+    return (named.join(where, "label").join(F.broadcast(sources))  # one row
+            .select("source", "code", "label", "n_sources", (F.col("n_sources") == F.col("__all")).alias("shared")))
+
+
+def stack_aligned(events: DataFrame, source: str, code: str, names: DataFrame, shared_only: bool) -> DataFrame:
+    """Rows of all sources under the common labels: those that all share, or the union."""
+    kept = names.where("shared") if shared_only else names
+    renamed = kept.select(F.col("source").alias(source), F.col("code").alias(code), "label")
+    return events.join(renamed, [source, code])

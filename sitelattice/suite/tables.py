@@ -494,13 +494,34 @@ def json_records(spark, d):
                     F.when(F.col("j.k") % 2 == 0, "even").otherwise("odd").alias("predicted"))
 
 
-@query("vocabulary_alignment", sql("""
-SELECT label, count(*) AS n_sources FROM (
- SELECT DISTINCT CAST(p_size%3 AS VARCHAR) AS source, trim(regexp_replace(translate(lower(p_type||' ('||p_brand||')'),',.()-/','      '),'\\s+',' ','g')) AS label FROM part) GROUP BY 1"""))
-def vocabulary_alignment(spark, d):
-    p = table(spark, d, "part").withColumn("src", (F.col("p_size") % 3).cast("string"))
+_LABELS = """SELECT DISTINCT p_partkey, CAST(p_size%3 AS VARCHAR) AS source,
+ trim(regexp_replace(translate(lower(p_type||' ('||p_brand||')'),',.()-/','      '),'\\s+',' ','g')) AS label FROM part"""
+
+
+def _rename_map(spark, d):
+    p = table(spark, d, "part").withColumn("source", (F.col("p_size") % 3).cast("string"))
     lab = S.normalised_label(F.concat("p_type", F.lit(" ("), "p_brand", F.lit(")")))
-    return C.align_vocabulary(p, "src", "p_partkey", lab)
+    return C.align_vocabulary(p, "source", "p_partkey", lab)
+
+
+@query("vocabulary_alignment", sql(f"""
+SELECT source, p_partkey AS code, label, n_sources, n_sources=(SELECT count(DISTINCT source) FROM l) AS shared FROM l JOIN (
+ SELECT label, count(DISTINCT source) AS n_sources FROM l GROUP BY 1) USING (label)""", extra={"l": _LABELS}))
+def vocabulary_alignment(spark, d):
+    return _rename_map(spark, d)
+
+
+@query("vocabulary_stack", sql(f"""
+SELECT label, count(*) AS n, count(DISTINCT source) AS n_sources FROM lineitem JOIN l ON l_partkey=p_partkey
+ WHERE label IN (SELECT label FROM l GROUP BY 1 HAVING count(DISTINCT source)=(SELECT count(DISTINCT source) FROM l)) GROUP BY 1""",
+                                 extra={"l": _LABELS}))
+def vocabulary_stack(spark, d):
+    """Order lines of all sources under the labels that every source has."""
+    names = _rename_map(spark, d)
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("code"), (F.col("p_size") % 3).cast("string").alias("source"))
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("code")).join(part, "code")
+    return C.stack_aligned(lines, "source", "code", names, True).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_sources"))
 
 
 # --- profiles ------------------------------------------------------------------------------
