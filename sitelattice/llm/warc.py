@@ -54,7 +54,7 @@ def write_archives(pages: DataFrame, path: str, seconds: Column, id_col: str = "
     record = F.concat(
         F.lit("WARC/1.1" + END), line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         line("WARC-Record-ID", name(F.col("id"))),
-        line("WARC-Date", F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.timestamp_seconds("at"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", name(F.col("response")))))
