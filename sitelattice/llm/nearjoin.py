@@ -87,6 +87,7 @@ def signatures(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         least[:, i] = np.minimum.reduceat(value * f, starts[:-1])
     least = _mix(least)
     bands = np.zeros((n, VALUES // ROWS), np.uint64)
+    bands += np.arange(bands.shape[1], dtype=np.uint64)  # equal values in two bands are no match
     for r in range(ROWS):
         bands = bands * np.uint64(0x9E3779B97F4A7C15) + least[:, r::ROWS]
     return (least >> np.uint64(56)).astype(np.uint8), _mix(bands)
@@ -184,13 +185,14 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Data
     return step(rows.toDF("c0", "t", *head[1:]).mapInArrow(run, schema))
 
 
-def _families(signed: DataFrame, family: float, tolerance: float) -> DataFrame:
-    """(node, root) of nodes that have a likely neighbour."""
-    buckets = (signed.where("node is not null").select("node", F.posexplode("bands").alias("band", "key")).distinct())
-    lead = buckets.groupBy("band", "key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.join(lead, ["band", "key"]).where("node <> lead").select("node", "lead").distinct()
-    sigs = signed.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig"))
-    both = (pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig")), "lead"))
+def _families(nodes: DataFrame, family: float, tolerance: float) -> DataFrame:
+    """(node, root) of nodes that have a likely neighbour. Buckets hold the short names of nodes."""
+    buckets = nodes.select("short", F.explode("bands").alias("key"))
+    lead = buckets.groupBy("key").agg(F.min("short").alias("lead"), F.max("short").alias("most")).where("lead <> most")
+    pairs = buckets.join(lead.select("key", "lead"), "key").where("short <> lead").select("short", "lead").distinct()
+    sigs = nodes.select("short", "node", "sig")
+    both = pairs.join(sigs, "short").join(
+        sigs.select(F.col("short").alias("lead"), F.col("node").alias("lead_node"), F.col("sig").alias("lead_sig")), "lead")
     least = least_matches(family, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +203,9 @@ def _families(signed: DataFrame, family: float, tolerance: float) -> DataFrame:
                     for n in ("sig", "lead_sig"))
             same = np.cumsum((a == c).reshape(len(a), -1, STEP).sum(2), axis=1)
             stay = pa.array((same >= least).all(1))
-            yield pa.RecordBatch.from_arrays([b.column("node").filter(stay), b.column("lead").filter(stay)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(stay), b.column("lead_node").filter(stay)], ["a", "b"])
 
-    return connected_components(both.select("node", "lead", "sig", "lead_sig").mapInArrow(run, "a binary, b binary"))
+    return connected_components(both.select("node", "lead_node", "sig", "lead_sig").mapInArrow(run, "a binary, b binary"))
 
 
 BLOCK = 512
@@ -221,9 +223,10 @@ def _links(signed: DataFrame, families: DataFrame, counts: DataFrame, threshold:
     n_units = max(1, families.count() // 500)
     unit = F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(n_units)).cast("string"))).otherwise(
         F.concat(F.hex("root"), F.lit("|"), F.least("block", "o").cast("string"), F.lit("|"), F.greatest("block", "o").cast("string")))
-    # one copy of each node's text: equal sets may come from many rows
+    # one copy of each node's text: equal sets may come from many rows; the families have no size
+    # bound, so they are not broadcast at any size
     texts = (signed.where("node is not null").withColumn("row", F.xxhash64("packed"))
-             .join(families.select("node"), "node", "left_semi").groupBy("node")
+             .join(families.select("node").hint("merge"), "node", "left_semi").groupBy("node")
              .agg(F.min_by(F.struct("sig", "packed"), "row").alias("t")))
     rows = (texts.join(counts, "node").join(met, "node")
             .select(unit.alias("unit"), "root", "node", "block", "n", "t.sig", "t.packed"))
@@ -287,12 +290,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     # of each class one row stays: least id, then first in the input
     first = F.min(F.struct(F.col("c0").isNull().alias("nul"), "c0", "tag")).alias("first")
     nodes = step(signed.where("node is not null").groupBy("node").agg(
-        F.count("*").alias("n"), F.min("c0").alias("least"), first))
-    families = step(_families(signed, family, tolerance))
+        F.count("*").alias("n"), F.min("c0").alias("least"), first, F.min("sig").alias("sig"), F.min("bands").alias("bands"))
+        .withColumn("short", F.xxhash64("node")))
+    families = step(_families(nodes, family, tolerance))
     found = _links(signed, families, nodes.select("node", "n"), threshold, tolerance)
     classes = step(connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b"))))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = step(nodes.join(classes, "node", "left").join(links, "node", "left").select(
+    known = step(nodes.drop("sig", "bands").join(classes, "node", "left").join(links, "node", "left").select(
         "node", "least", "first", F.coalesce("root", "node").alias("root"),
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     best = known.groupBy("root").agg(F.min("least").alias("class_id"), F.min("first").alias("first"))
