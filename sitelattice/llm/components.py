@@ -34,16 +34,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .where(F.col("a") != F.col("b")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Does every node point at one root, and no root at another node?"""
+    if edges.groupBy("a").count().where("count > 1").limit(1).count():
+        return False
+    return not edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that an edge (a, b) names; root is the least node of its component.
     Edges with a null end or equal ends are no edges."""
-    now = materialise(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct())
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 2**31)).first()
-        if state == before:
-            break
-        before = state
+    ends = edges.where("a is not null and b is not null and a <> b")
+    now = materialise(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _stars(now):
         now = materialise(_small_star(_large_star(now)))
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
