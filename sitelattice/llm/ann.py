@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-A bounded sample of vectors serves as pivots (``n_pivots`` rows, those with the least hash of their
-id). Every vector is represented by its ``depth`` nearest pivots in order. An index block holds an
+``n_pivots`` mutually distant vectors of a bounded sample (those with the least hash of their id) serve as
+pivots, so that a group of near copies takes few of them. Every vector is represented by its ``depth`` nearest pivots in order. An index block holds an
 inverted file: for each pivot the vectors that have it, with its place in their order. A query
 walks the lists of its own pivots and gathers the footrule distance of the two orders (a pivot
 that one side lacks counts as place ``depth``); the ``candidates`` least footrules of every block
@@ -9,9 +9,9 @@ are compared by the true cosine, in double precision.
 
 Every vector is indexed and every block is searched, so a query's candidates grow with the
 table: ``candidates`` is per block of ``block_rows`` vectors. Ties in footrule and in cosine go to the
-smaller id. Measured on 51,000 vectors of 64 even dimensions, where nothing is near anything and
-short orders fail: 16 of 128 places find 0.52 of the true five within 5 % of the rows, 128 of 256
-find 0.97; hence the long default order.
+smaller id. Recall of the true five, numpy replica, 24,000 vectors, 50 queries: 64 dimensions without
+structure 1.0; a third of the rows near copies of one vector 0.99 (other queries 0.987); 256 dimensions
+without structure 0.92. More dimensions are not measured.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 without id, take no part; only vectors of equal dimension are compared; rows with the query's id
@@ -38,14 +38,26 @@ def nearest_pivots(matrix: np.ndarray, pivots: np.ndarray, depth: int) -> np.nda
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :depth]
 
 
+def distant(unit: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` of the unit rows, each the one least like all taken before; none equal to one taken."""
+    taken, near = [0], unit @ unit[0]
+    while len(taken) < n:
+        i = int(np.argmin(near))
+        if near[i] > 1 - 1e-9:
+            break
+        taken.append(i)
+        near = np.maximum(near, unit @ unit[i])
+    return unit[taken]
+
+
 def sample_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension; one collected sample of at most ``n`` distinct rows."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    """Unit pivots by dimension; chosen from one collected sample of at most ``8 n`` distinct rows."""
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(8 * n).collect()
     by_dim: dict[int, dict] = {}
     for r in rows:
         v = np.array(r["vec"], float)
         by_dim.setdefault(len(v), {})[v.tobytes()] = v / np.linalg.norm(v)
-    return {d: np.array(list(v.values())) for d, v in by_dim.items()}
+    return {d: distant(np.array(list(v.values())), n) for d, v in by_dim.items()}
 
 
 def build_index(vectors: DataFrame, n_pivots: int, depth: int, block_rows: int) -> DataFrame:
@@ -79,10 +91,10 @@ def _finder(k: int, depth: int, candidates: int):
         n = len(ids)
         tie = np.arange(n)  # rows are in the order of ids
         for qi, order in enumerate(nearest_pivots(q, pivots, depth)):
-            footrule = np.full(n, int((depth - np.arange(len(order))).sum()), np.int64)
+            footrule = np.full(n, 2 * int((depth - np.arange(len(order))).sum()), np.int64)
             for i, p in enumerate(order):
                 span = slice(starts[p], starts[p + 1])
-                footrule[rows[span]] -= depth - i - np.abs(i - places[span])
+                footrule[rows[span]] -= 2 * (depth - np.maximum(i, places[span]))
             key = footrule * n + tie
             key[ids == q_ids[qi]] = np.iinfo(np.int64).max
             chosen = np.argpartition(key, candidates)[:candidates] if n > candidates else tie

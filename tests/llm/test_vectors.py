@@ -91,3 +91,20 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert topk.largest_products(empty, F.col("id") % 20 == 0).count() == 0
     assert ann.nearest(empty, F.col("id") % 50 == 0).count() == 0
+
+
+def test_recall_beside_a_group_of_near_copies(spark):
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(6000, 64))
+    x[::3] = rnd.normal(size=64) + 0.05 * rnd.normal(size=(2000, 64))
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"),
+                      F.col("id") % 50 == 0, candidates=128, block_rows=2048)
+    found = {(r.query_id, r.vec_id) for r in got.collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = {True: [], False: []}
+    for q in range(0, 6000, 50):
+        score = unit @ unit[q]
+        score[q] = -9
+        hits[q % 3 == 0].append(np.mean([(q, int(i)) in found for i in np.argsort(-score)[:5]]))
+    print("ann", {k: float(np.mean(v)) for k, v in hits.items()})
+    assert all(np.mean(v) >= 0.9 for v in hits.values())
