@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sitelattice.llm import ann, bpe, langid, linededup, nearjoin, packing, repeats, tokencount, topk, warc
+from sitelattice.llm import (ann, bestfit, bpe, langid, lexical, linededup, nearjoin, packing, repeats, tokencount, topk,
+                             variants, warc)
 from sitelattice.llm.common import table
 
 QUERIES: dict = {}
@@ -106,3 +107,33 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """)
 def op10_topk(spark, sf_dir):
     return topk.largest_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op11_lexical_search", r"""
+WITH p AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS re),
+low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), re) AS w FROM documents, p, low),
+tot AS (SELECT count(*) AS nd, sum(len(w)) AS nl FROM d WHERE len(w) > 0),
+tf AS (SELECT row_id, doc_id, t, CAST(count(*) AS BIGINT) AS tf, any_value(len(w)) AS n
+       FROM (SELECT row_id, doc_id, w, unnest(w) AS t FROM d) GROUP BY 1, 2, 3),
+q AS (SELECT item_id, t, CAST(count(*) AS BIGINT) AS k
+      FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), u, l), re)) AS t FROM benchmark, p, low) GROUP BY 1, 2),
+df AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS wt FROM tf, tot GROUP BY t),
+scored AS (SELECT item_id, row_id, doc_id,
+                  CAST(sum(k * wt * ((1000000000 * tf) // (1000 * tf + 8 * (25 + CAST((75 * n * nd) // nl AS BIGINT))))) AS BIGINT) AS score
+           FROM q JOIN tf USING (t) JOIN df USING (t), tot GROUP BY 1, 2, 3),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_best_fit")
+def op13_best_fit(spark, sf_dir):
+    return bestfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
