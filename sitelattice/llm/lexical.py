@@ -196,7 +196,7 @@ def _search_batch(docs: DataFrame, rows: list, k: int, coordinates: int, id_type
                        .select("item", "rank", "doc", "score"))
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, coordinates: int = 2048, batch_rows: int = 4096,
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, coordinates: int = 8192, batch_rows: int = 1024,
            id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "item_id", query_text_col: str = "text") -> DataFrame:
     """(query id, rank, doc id, score): the k documents of highest score above 0 for every row of ``queries``."""
     spark = docs.sparkSession
