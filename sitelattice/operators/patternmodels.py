@@ -277,84 +277,6 @@ def choose_kappa(scores: DataFrame, y: str) -> DataFrame:
 
 # --- fused regression ----------------------------------------------------------------------
 
-def fit_fused(df: DataFrame, xs: list[str], y: str, assigned: DataFrame, fitted: DataFrame,
-              edges: DataFrame, mu: np.ndarray, sd: np.ndarray, lam: float = 1.0, ridge: float = 1e-2,
-              max_iter: int = 60, tol: float = 1e-7) -> DataFrame:
-    """theta of the joint loss plus ``lam`` times squared differences along containment edges.
-
-    Each record counts for its most specific fitted pattern only. Data terms come from one
-    scan per step; the penalty couples patterns, so the step solves one sparse-structured
-    system over all parameters by conjugate gradients on the driver (patterns x variables).
-    """
-    spark, d = df.sparkSession, len(xs)
-    table = fitted.select("pattern", "vars").orderBy("pattern").toPandas()
-    names = table["pattern"].tolist()
-    at = {p: i for i, p in enumerate(names)}
-    k = len(names)
-    act = np.zeros((k, d), bool)
-    for i, v in enumerate(table["vars"]):
-        act[i, list(v)] = True
-    pairs = assigned.where("assigned IS NOT NULL").select("pattern", "assigned").toPandas()
-    keys = pairs["pattern"].tolist()
-    row_act = np.zeros((len(keys), d), bool)
-    for i, p in enumerate(keys):
-        if p:
-            row_act[i, [int(v) for v in p.split(",")]] = True
-    members = [np.array([at[a]]) for a in pairs["assigned"]]
-    design = N.Design(keys, np.zeros((len(keys), d)), row_act, np.tile(mu, (k, 1)), np.tile(sd, (k, 1)),
-                      act, np.ones(k), members)
-    e = edges.toPandas()
-    ends = np.array([[at[c], at[p]] for c, p in zip(e["child"], e["parent"])]).reshape(-1, 2)
-    both = act[ends[:, 0]] & act[ends[:, 1]] if len(ends) else np.zeros((0, d), bool)
-
-    def penalty(t):
-        g = np.zeros_like(t)
-        g[:, :d] = 2 * ridge * t[:, :d] * act
-        if len(ends):
-            diff = (t[ends[:, 0], :d] - t[ends[:, 1], :d]) * both
-            np.add.at(g[:, :d], ends[:, 0], 2 * lam * diff)
-            np.add.at(g[:, :d], ends[:, 1], -2 * lam * diff)
-        return g
-
-    keyed = df.select(pattern_key(xs).alias("__k"), y, *xs).persist()
-    theta = np.zeros((k, d + 1))
-    try:
-        for _ in range(max_iter):
-            sums = N.newton_pass(keyed, "__k", y, xs, design, theta, np.ones(k, bool)).toPandas()
-            h, g = np.zeros((k, d + 1, d + 1)), np.zeros((k, d + 1))
-            for m, i, v in sums.itertuples(index=False):
-                if i <= d:
-                    h[m, i], g[m, i] = v[:d + 1], v[d + 1]
-            free = np.column_stack([act, np.ones(k, bool)])
-            grad = (g - penalty(theta)) * free
-            op = lambda t: (np.einsum("kij,kj->ki", h, t) + penalty(t) + 1e-9 * t) * free
-            step = _conjugate_gradient(op, grad)
-            theta = theta + step
-            if np.max(np.abs(step)) < tol:
-                break
-    finally:
-        keyed.unpersist()
-    g, v = np.nonzero(act)
-    return spark.createDataFrame(pd.DataFrame({
-        "pattern": np.r_[np.array(names, object)[g], np.array(names, object)],
-        "var": np.r_[v, np.full(k, INTERCEPT)].astype("int32"),
-        "value": np.r_[theta[g, v], theta[:, d]]}), "pattern string, var int, value double")
-
-
-def _conjugate_gradient(op, b, iters: int = 500, tol: float = 1e-12):
-    x, r = np.zeros_like(b), b.copy()
-    p, rs = r.copy(), float((r * r).sum())
-    for _ in range(iters):
-        if rs < tol:
-            break
-        ap = op(p)
-        a = rs / max(float((p * ap).sum()), 1e-300)
-        x, r = x + a * p, r - a * ap
-        new = float((r * r).sum())
-        p, rs = r + (new / rs) * p, new
-    return x
-
-
 def predict_fused(df: DataFrame, xs: list[str], theta: DataFrame, assigned: DataFrame, prior: float,
                   mu: np.ndarray, sd: np.ndarray, out: str = "p") -> DataFrame:
     """Score every row with its assigned pattern; rows with none get the prior."""

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sitelattice.functions.hashing import digest, hex_fraction
 from sitelattice.functions.scalars import clip, expit
-from sitelattice.session import prepare
+from sitelattice.operators.sampling import stratified_split
+from sitelattice.session import materialise, prepare
 
 XS = [f"x{j}" for j in range(8)]
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -263,6 +264,12 @@ CTES = {
 NEEDS = {"sm": ["smraw"], "cf": ["sm"], "dec1": ["dec0"], "dec": ["dec1"], "sl": ["sm"], "sp": ["sl", "sm"]}
 
 
+def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(training, held-out) rows, 70 to 30, stratified by outcome."""
+    s = materialise(stratified_split(df.withColumn("all", F.lit(0)), "all", "y", ["row_id"], "holdout").drop("all"))
+    return s.where("NOT is_test"), s.where("is_test")
+
+
 def sql(body: str, *ctes: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """``body`` preceded by the named inputs (with what they need) and any extra CTEs."""
     order: list[str] = []

@@ -15,10 +15,10 @@ from sitelattice.operators import patternmodels as PM
 from sitelattice.operators import patterns as PT
 from sitelattice.operators import sitemodels as SM
 from sitelattice.operators import tuning as TU
-from sitelattice.operators.sampling import stratified_folds, stratified_split
+from sitelattice.operators.sampling import stratified_folds
 from sitelattice.session import materialise
 from sitelattice.suite import inputs as I
-from sitelattice.suite.inputs import DAY, XS, sql
+from sitelattice.suite.inputs import DAY, XS, split, sql
 from sitelattice.suite.patterns import fitted_patterns
 from sitelattice.suite.registry import query
 
@@ -31,11 +31,6 @@ def _quality(df):
     return ME.score_metrics(df, []).select("n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")])
 
 
-def _split(df):
-    s = materialise(stratified_split(df.withColumn("all", F.lit(0)), "all", "y", ["row_id"], "holdout").drop("all"))
-    return s.where("NOT is_test"), s.where("is_test")
-
-
 _A = ",".join(f"q.x{j} AS a{j}, r.x{j} AS b{j}" for j in range(5))
 _COM = "+".join(f"(CASE WHEN q.x{j} IS NOT NULL AND r.x{j} IS NOT NULL THEN 1 ELSE 0 END)" for j in range(5))
 _SQ = "+".join(f"coalesce((q.x{j}-r.x{j})*(q.x{j}-r.x{j}),0)" for j in range(5))
@@ -61,7 +56,7 @@ def knn_impute_logistic(spark, d):
 @query("chained_equations")
 def chained_equations(spark, d):
     """Fitted on the training part, replayed on the held-out part, then a logistic."""
-    train, test = _split(I.site_matrix(spark, d))
+    train, test = split(I.site_matrix(spark, d))
     fill = IM.chained_equations(train, XS, sweeps=5)
     tr = materialise(IM.mapped(train, XS, fill, XS))
     return _quality(SM.pooled_fit(tr, "y", XS, indicators=False)[1](IM.mapped(test, XS, fill, XS)))
@@ -99,20 +94,20 @@ def mask_interaction_logistic(spark, d):
 
 @query("reduced_feature_ensemble")
 def reduced_feature_ensemble(spark, d):
-    train, test = _split(I.site_matrix(spark, d))
+    train, test = split(I.site_matrix(spark, d))
     return _quality(IM.reduced_feature_ensemble(train, test, "y", XS))
 
 
 @query("reduced_feature_trees")
 def reduced_feature_trees(spark, d):
-    train, test = _split(I.user_day(spark, d))
+    train, test = split(I.user_day(spark, d))
     return _quality(BO.reduced_feature_trees(train, test, "y", DAY, ["row_id"], depth=4))
 
 
 @query("boosted_trees")
 def boosted_trees(spark, d):
     """Pooled boosted trees and the ensemble of two sites' own trees, on held-out rows."""
-    train, test = _split(I.site_matrix(spark, d))
+    train, test = split(I.site_matrix(spark, d))
     pooled = BO.fit_boosted(train, "y", XS, iterations=5, depth=3)
     own = BO.boosted_by_site(train, "site", ["S00", "S01"], "y", XS, iterations=3, depth=3)
     ens = BO.boosted_ensemble(own, test, ["row_id"], "y")
@@ -144,7 +139,7 @@ def learning_curve(spark, d):
 def pattern_blend(spark, d):
     """Pooled, local and cross-validated blend by missingness pattern, on held-out rows."""
     m = I.site_matrix(spark, d).withColumn("pattern", PM.pattern_key(XS))
-    train, test = _split(m)
+    train, test = split(m)
     scored = materialise(PB.fit_blend(train, test, "pattern", "y", XS, ["row_id"])[0])
     out = None
     for a in ("pooled", "local", "blend_cv"):

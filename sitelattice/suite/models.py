@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from sitelattice.operators import fused as FU
 from sitelattice.operators import merging as MG
 from sitelattice.operators import metrics as ME
 from sitelattice.operators import patternmodels as PM
@@ -12,7 +13,7 @@ from sitelattice.operators import patterns as PT
 from sitelattice.operators import sitemodels as SM
 from sitelattice.session import materialise
 from sitelattice.suite import inputs as I
-from sitelattice.suite.inputs import DAY, XS, sql
+from sitelattice.suite.inputs import DAY, XS, split, sql
 from sitelattice.suite.patterns import fitted_patterns, pat_ctes
 from sitelattice.suite.registry import query
 
@@ -202,13 +203,51 @@ def rooted_shrinkage(spark, d):
 
 @query("fused_patterns")
 def fused_patterns(spark, d):
-    u, real, fit, mu, sd, _ = _fit_patterns(spark, d, 100)
-    edges = PT.immediate_ancestors(fit, 5)
-    assigned = materialise(PT.most_specific(fit, real, 5))
-    prior = u.agg(F.avg("y").alias("m")).first()["m"]
-    theta = PM.fit_fused(u, DAY, "y", assigned, fit, edges, mu, sd, lam=5.0)
-    p = PM.predict_fused(u, DAY, theta, assigned, prior, mu, sd)
-    return ME.score_metrics(p, []).select("n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")])
+    """Fitted on the training part with the fusion penalty, scored on the held-out part."""
+    train, test = split(I.user_day(spark, d))
+    real, fit = fitted_patterns(train, DAY)
+    mu, sd = PM.observed_scaler(train, DAY)
+    edges = materialise(PT.immediate_ancestors(fit, 5))
+    theta = materialise(FU.fit_fused(train, DAY, "y", PM.pattern_key(DAY), PT.most_specific(fit, real, 5), fit, edges, mu, sd, lam=5.0))
+    prior = train.agg(F.avg("y").alias("m")).first()["m"]
+    every = materialise(PT.pattern_counts(test, DAY))
+    p = PM.predict_fused(test, DAY, theta, PT.most_specific(fit, every, 5), prior, mu, sd)
+    return (ME.score_metrics(p, []).join(F.broadcast(theta.agg(F.bool_and("converged").alias("converged"))))  # one row each
+            .select("n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")], "converged"))
+
+
+def _fused_ctes(lam: float, ridge: float, steps: int) -> dict[str, str]:
+    """Two variables, three tied patterns: every weight goes down its own curvature until nothing moves."""
+    z = ", ".join(f"(x{j}-(SELECT avg(x{j}) FROM ud))/(SELECT stddev_pop(x{j}) FROM ud) AS z{j}" for j in (0, 1))
+    e = "a0+coalesce(b0*z0,0)", "a1+coalesce(b1*z1,0)", "a2+b20*z0+b21*z1"
+    eta = f"CASE k WHEN 0 THEN {e[0]} WHEN 1 THEN {e[1]} ELSE {e[2]} END"
+    cells = [("a0", 0, "1", None), ("b0", 0, "z0", "b20"), ("a1", 1, "1", None), ("b1", 1, "z1", "b21"),
+             ("a2", 2, "1", None), ("b20", 2, "z0", "b0"), ("b21", 2, "z1", "b1")]
+    names = [c[0] for c in cells]
+    new = []
+    for w, k, x, tied in cells:
+        pull = f"-2*{ridge}*{w}-2*{lam}*({w}-{tied})" if tied else ""
+        more = f"+2*{ridge}+2*{lam}" if tied else ""
+        new.append(f"{w}+0.6*(sum(CASE WHEN k={k} THEN (y-q)*{x} ELSE 0 END){pull})/(sum(CASE WHEN k={k} THEN q*(1-q)*{x}*{x} ELSE 0 END){more}) AS {w}")
+    return {"z": f"SELECT y, {z}, CASE WHEN x0 IS NOT NULL AND x1 IS NOT NULL THEN 2 WHEN x0 IS NOT NULL THEN 0 WHEN x1 IS NOT NULL THEN 1 END AS k "
+                 "FROM ud WHERE x0 IS NOT NULL OR x1 IS NOT NULL",
+            "it": "SELECT 0 AS step, " + ", ".join(f"0.0::DOUBLE AS {w}" for w in names) + f""" UNION ALL
+             SELECT step+1, {', '.join(new)} FROM (SELECT *, 1/(1+exp(-({eta}))) AS q FROM it CROSS JOIN z WHERE step<{steps})
+             GROUP BY step, {', '.join(names)}"""}
+
+
+_FUSED = [("0", -1, "a0"), ("0", 0, "b0"), ("1", -1, "a1"), ("1", 1, "b1"), ("0,1", -1, "a2"), ("0,1", 0, "b20"), ("0,1", 1, "b21")]
+
+
+@query("fused_two_variables", sql(" UNION ALL ".join(
+    f"SELECT '{p}' AS pattern, {v} AS var, round({w},4) AS value, true AS converged FROM it WHERE step=120" for p, v, w in _FUSED),
+    "ud", extra=_fused_ctes(5.0, 0.01, 120), recursive=True))
+def fused_two_variables(spark, d):
+    u, xs = materialise(I.user_day(spark, d)), DAY[:2]
+    real, fit = fitted_patterns(u, xs, 1)
+    mu, sd = PM.observed_scaler(u, xs)
+    theta = FU.fit_fused(u, xs, "y", PM.pattern_key(xs), PT.most_specific(fit, real, 2), fit, PT.immediate_ancestors(fit, 2), mu, sd, lam=5.0)
+    return theta.select("pattern", "var", F.round("value", 4).alias("value"), "converged")
 
 
 # --- site models ---------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelattice.operators import imputation as IM
 from sitelattice.operators import newton as N
 from sitelattice.operators import patternblend as PB
+from sitelattice.operators import fused as FU
 from sitelattice.operators import patternmodels as PM
 from sitelattice.operators import patterns as PT
 from sitelattice.operators import sitemodels as SM
@@ -186,10 +187,11 @@ def test_fused_limits(df, patterns):
     mu, sd = PM.observed_scaler(df, XS)
     assigned = PT.most_specific(fit, real, 4)
     gap = {}
-    for lam in (0.0, 1e5):
-        t = PM.fit_fused(df, XS, "y", assigned, fit, edges, mu, sd, lam=lam)
+    for lam in (0.0, 200.0):
+        t = FU.fit_fused(df, XS, "y", PM.pattern_key(XS), assigned, fit, edges, mu, sd, lam=lam)
         gap[lam] = PM.ancestor_discrepancy(t, edges, fit).agg(F.max("mean_abs_diff")).first()[0]
-    assert gap[1e5] < 1e-3 < gap[0.0]
+        assert t.where("NOT converged").count() == 0
+    assert 10 * gap[200.0] < gap[0.0]
 
 
 def test_blend_oracle_never_below_pooled(df):
