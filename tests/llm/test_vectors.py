@@ -72,15 +72,15 @@ def cosine(a, b):
 
 def test_nearest_with_all_candidates(spark, mixed):
     want = brute(mixed, lambda q: q % 50 == 0, 5, cosine, zero=False)
-    got = ann.nearest(spark.createDataFrame(wrap(mixed), SCHEMA), F.col("id") % 50 == 0, n_pivots=8, depth=3)
+    got = ann.nearest(spark.createDataFrame(wrap(mixed), SCHEMA), F.col("id") % 50 == 0, n_pivots=8, depth=3, recall=1.0)
     assert {(r.query_id, r.rank, r.vec_id) for r in got.collect()} == {w[:3] for w in want}
 
 
-def test_recall_with_few_candidates(spark, small):
+def test_recall_on_the_given_table(spark, small):
     df = spark.read.parquet(f"{small}/embeddings.parquet")
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in df.collect()]
     want = brute(rows, lambda q: q % 50 == 0, 5, cosine, zero=False)
-    got = ann.nearest(df, F.col("id") % 50 == 0, candidates=60)
+    got = ann.nearest(df, F.col("id") % 50 == 0)
     found = {(r.query_id, r.vec_id): r.score for r in got.collect()}
     exact = {(q, i): s for q, _, i, s in want}
     assert len(found.keys() & exact.keys()) >= 0.9 * len(exact)
@@ -98,7 +98,7 @@ def test_recall_beside_a_group_of_near_copies(spark):
     x = rnd.normal(size=(6000, 64))
     x[::3] = rnd.normal(size=64) + 0.05 * rnd.normal(size=(2000, 64))
     got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"),
-                      F.col("id") % 50 == 0, candidates=128, block_rows=2048)
+                      F.col("id") % 50 == 0, block_rows=2048)
     found = {(r.query_id, r.vec_id) for r in got.collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = {True: [], False: []}
@@ -108,3 +108,24 @@ def test_recall_beside_a_group_of_near_copies(spark):
         hits[q % 3 == 0].append(np.mean([(q, int(i)) in found for i in np.argsort(-score)[:5]]))
     print("ann", {k: float(np.mean(v)) for k, v in hits.items()})
     assert all(np.mean(v) >= 0.9 for v in hits.values())
+
+
+@pytest.mark.parametrize("dim", [64, 256, 768])
+@pytest.mark.parametrize("clusters", [None, 300, 20])
+def test_the_learned_cut_keeps_the_recall(dim, clusters):
+    rnd = np.random.default_rng(dim)
+    x = rnd.normal(size=(8000, dim))
+    if clusters:
+        x = rnd.normal(size=(clusters, dim))[rnd.integers(0, clusters, 8000)] + 0.3 * x
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = ann.distant(unit[:4096], 512)
+    cut = ann.learned_cut(unit[:4096], pivots, 64, 5, 0.97)
+    order = ann.nearest_pivots(unit, pivots, 64)
+    asked = np.arange(4200, 8000, 95)
+    cosine = unit[asked] @ unit.T
+    cosine[np.arange(len(asked)), asked] = -9
+    within = ann.footrules(order[asked], order, len(pivots), 64) <= cut
+    recall = np.take_along_axis(within, np.argsort(-cosine, 1)[:, :5], 1).mean()
+    print("ann", dim, clusters, recall, within.mean())
+    assert recall >= 0.9
+    assert within.mean() < (0.2 if clusters else 1.0)
