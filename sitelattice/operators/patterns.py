@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 62
+#: Large patterns of one variable that share a slice of the containment index.
+SLICE_PATTERNS = 20_000
 
 
 def word_names(d: int) -> list[str]:
@@ -66,19 +68,35 @@ def _inside(words: list[str], small: str, large: str) -> Column:
     return cond
 
 
-def containment(small: DataFrame, large: DataFrame, d: int, strict: bool = False) -> DataFrame:
+def _rarest(rare: list[int], but: Column | None = None) -> Column:
+    """A pattern's first variable in the order of ``rare``, other than ``but``; -1 if it has none."""
+    able = [F.when((_bit(j) == 1) & (F.lit(True) if but is None else but != j), F.lit(j)) for j in rare]
+    return F.coalesce(*able, F.lit(-1))
+
+
+def containment(small: DataFrame, large: DataFrame, d: int, strict: bool = False, slice_patterns: int = SLICE_PATTERNS) -> DataFrame:
     """Pairs small <= large as aliases ``e`` and ``o``.
 
-    An equality join on the small pattern's rarest variable, with the bit test as a residual
-    condition: a large pattern is offered only where it has that variable.
+    An index of containment: a small pattern is filed under its two rarest variables, a large one is offered
+    under every such pair that it holds (at most d * d pairs exist, so they go to every task), and the bit test is
+    the residual condition. Large patterns of a frequent variable are dealt over slices of ``slice_patterns``, and the
+    small ones go to each of them, so no key holds more than its share.
     """
     words = word_names(d)
-    seen = large.agg(*[F.sum(_bit(j)).alias(f"v{j}") for j in range(d)]).first()
-    rare = sorted(range(d), key=lambda j: (seen[f"v{j}"] or 0, j))
-    pivot = F.coalesce(*[F.when(_bit(j) == 1, F.lit(j)) for j in rare], F.lit(-1))
-    e = small.withColumn("__key", pivot).alias("e")
-    o = large.withColumn("__key", F.explode(F.concat(F.array(F.lit(-1)), F.col("vars")))).alias("o")
-    cond = (F.col("e.__key") == F.col("o.__key")) & _inside(words, "e", "o")
+    seen = large.agg(F.count(F.lit(1)).alias("all"), *[F.sum(_bit(j)).alias(f"v{j}") for j in range(d)]).first()
+    count = [seen[f"v{j}"] or 0 for j in range(d)]
+    rare = sorted(range(d), key=lambda j: (count[j], j))
+    slices = F.array(*[F.lit(max(1, -(-n // slice_patterns))) for n in [*count, seen["all"]]])  # -1: the last
+    held = F.element_at(slices, F.when(F.col("__a") < 0, -1).otherwise(F.col("__a") + 1))
+    filed = small.withColumn("__a", _rarest(rare)).withColumn("__b", _rarest(rare, F.col("__a")))
+    pairs = filed.select("__a", "__b").distinct()
+    offered = large.withColumn("__a", F.explode(F.concat(F.array(F.lit(-1)), F.col("vars")))).join(F.broadcast(pairs), "__a")
+    offered = offered.where((F.col("__b") < 0) | F.array_contains("vars", F.col("__b")))
+    e = filed.withColumn("__slice", F.explode(F.sequence(F.lit(0), held - 1))).alias("e")
+    o = offered.withColumn("__slice", F.pmod(F.xxhash64("pattern"), held).cast("int")).alias("o")
+    cond = _inside(words, "e", "o")
+    for c in ("__a", "__b", "__slice"):
+        cond = cond & (F.col(f"e.{c}") == F.col(f"o.{c}"))
     if strict:
         cond = cond & (F.col("e.size") < F.col("o.size"))
     return e.join(o, cond)

@@ -237,3 +237,18 @@ def test_chained_equations_recover_a_linear_column(spark):
     d = spark.createDataFrame(p.astype(object).where(p.notna(), None), "x0 double, x1 double, x2 double")
     fill = IM.chained_equations(d, ["x0", "x1", "x2"], sweeps=3, ridge=1e-9)
     assert np.allclose(fill(hole)[::4, 2], x[::4, 2], atol=1e-3)
+
+
+def test_containment_in_slices(spark):
+    """A variable that all patterns hold is dealt over slices; the pairs are those of brute force."""
+    rnd = np.random.default_rng(5)
+    sets = {frozenset([0, *np.flatnonzero(rnd.random(9) < 0.6)]) for _ in range(150)} | {frozenset(), frozenset([3]), frozenset([3, 4])}
+    rows = [(sum(1 << int(j) for j in s), 1) for s in sets]
+    given = PT.describe(spark.createDataFrame(rows, "w0 long, n long"), 9).persist()
+    key = lambda s: ",".join(map(str, sorted(s)))
+    for strict in (False, True):
+        want = sorted((key(a), key(b)) for a in sets for b in sets if a < b or (a == b and not strict))
+        for size in (7, 20_000):
+            got = PT.containment(given, given, 9, strict, size).select("e.pattern", F.col("o.pattern").alias("large"), "e.__slice")
+            assert sorted(tuple(r)[:2] for r in got.collect()) == want
+            assert (got.select("__slice").distinct().count() > 5) == (size == 7)
