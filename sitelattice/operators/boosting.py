@@ -1,4 +1,4 @@
-"""Boosted trees and tree ensembles on data with missing values."""
+"""Trees on missingness masks and the reduced-feature ensemble of trees. Boosting by group: ``grouped_trees``."""
 
 from __future__ import annotations
 
@@ -8,64 +8,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelattice.operators.metrics import score_metrics
 from sitelattice.operators.patterns import packed_words, word_names, _bit
 from sitelattice.operators.ordered import hash_row_number
 from sitelattice.session import materialise
 
-SENTINEL = -1e6
-
-
-def tree_design(df: DataFrame, xs: list[str], out: str = "features") -> DataFrame:
-    """Values with a sentinel far below the data for missing cells, beside the mask."""
-    cols = [F.coalesce(F.col(x), F.lit(SENTINEL)).alias(f"__v{j}") for j, x in enumerate(xs)]
-    cols += [F.col(x).isNotNull().cast("double").alias(f"__o{j}") for j, x in enumerate(xs)]
-    names = [f"__v{j}" for j in range(len(xs))] + [f"__o{j}" for j in range(len(xs))]
-    return VectorAssembler(inputCols=names, outputCol=out).transform(df.select("*", *cols)).drop(*names)
-
-
-def varying(df: DataFrame, xs: list[str]) -> list[str]:
-    """Columns with at least two distinct values; the others cannot be split on."""
-    r = df.agg(*[e for x in xs for e in (F.min(x).alias(f"a_{x}"), F.max(x).alias(f"b_{x}"))]).first()
-    return [x for x in xs if r[f"a_{x}"] is not None and r[f"a_{x}"] < r[f"b_{x}"]]
-
-
-def fit_boosted(train: DataFrame, y: str, xs: list[str], iterations: int = 200, depth: int = 4,
-                rate: float = 0.1, seed: int = 0):
-    """Boosted trees over all given rows; returns a function adding ``p``. None on one class."""
-    k = train.agg(F.count_distinct(y).alias("k")).first()["k"]
-    use = varying(train, xs)
-    if k < 2 or not use:
-        return None
-    m = GBTClassifier(featuresCol="features", labelCol=y, maxIter=iterations, maxDepth=depth,
-                      stepSize=rate, seed=seed).fit(tree_design(train, use))
-
-    def score(rows: DataFrame) -> DataFrame:
-        s = m.transform(tree_design(rows, use))
-        return s.withColumn("p", vector_to_array("probability")[1]).drop(
-            "features", "rawPrediction", "probability", "prediction")
-    return score
-
-
-def boosted_by_site(train: DataFrame, site: str, names: list[str], y: str, xs: list[str], **kw) -> dict:
-    """One boosted model per named site, each a distributed fit over that site's rows."""
-    out = {}
-    for s in names:
-        f = fit_boosted(train.where(F.col(site) == s), y, xs, **kw)
-        if f is not None:
-            out[s] = f
-    return out
-
-
-def boosted_ensemble(models: dict, rows: DataFrame, ids: list[str], y: str) -> DataFrame:
-    """Mean probability of the given site models per row."""
-    scored = None
-    for f in models.values():
-        s = f(rows).select(*ids, y, "p")
-        scored = s if scored is None else scored.unionByName(s)
-    return scored.groupBy(*ids).agg(F.first(y).alias(y), F.avg("p").alias("p"))
-
-
 def mask_informativeness(df: DataFrame, xs: list[str], y: str, ids: list[str], seed=0, folds: int = 5,
                          iterations: int = 20) -> DataFrame:
     """One row (iota, n): out-of-fold AUROC of mask -> outcome minus one half.

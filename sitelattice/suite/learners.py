@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sitelattice.operators import boosting as BO
+from sitelattice.operators import grouped_trees as GT
 from sitelattice.operators import imputation as IM
 from sitelattice.operators import matrix as M
 from sitelattice.operators import metrics as ME
@@ -106,13 +107,44 @@ def reduced_feature_trees(spark, d):
 
 @query("boosted_trees")
 def boosted_trees(spark, d):
-    """Pooled boosted trees and the ensemble of two sites' own trees, on held-out rows."""
+    """Every site's own boosted trees, the mean of all sites' and the pooled ones: scores by site on held-out rows."""
     train, test = split(I.site_matrix(spark, d))
-    pooled = BO.fit_boosted(train, "y", XS, iterations=5, depth=3)
-    own = BO.boosted_by_site(train, "site", ["S00", "S01"], "y", XS, iterations=3, depth=3)
-    ens = BO.boosted_ensemble(own, test, ["row_id"], "y")
-    tag = lambda df, name: _quality(df).select(F.lit(name).alias("model"), "*")
-    return tag(pooled(test), "pooled").unionByName(tag(ens, "ensemble"))
+    model = GT.fit_grouped(train, "site", "y", XS, ["row_id"])
+    s = materialise(GT.score_grouped(test.select("site", "row_id", "y", *XS), "site", model))
+    arms = F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"p_{a}").alias("p")) for a in ("local", "ensemble", "pooled")])
+    long = s.select("site", "y", F.inline(arms)).where("p IS NOT NULL")
+    m = ME.score_metrics(long, ["site", "arm"])
+    return m.select("site", "arm", "n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")])
+
+
+_STUMP = {0: [5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0], 2: [0.015, 0.035, 0.055, 0.075], 6: [8.5, 16.5, 24.5, 32.5, 40.5]}
+
+
+def _stump_sql() -> dict[str, str]:
+    bins = " UNION ALL ".join(f"SELECT site, y, {i} AS var, CASE WHEN x{j} IS NOT NULL THEN {'+'.join(f'(x{j}>{e})::INT' for e in es)} END AS bin FROM sm"
+                              for i, (j, es) in enumerate(_STUMP.items()))
+    cuts = " UNION ALL ".join(f"SELECT {i} AS var, unnest(range({len(es) + 1}))::INT AS cut" for i, es in enumerate(_STUMP.values()))
+    gain = lambda s: f"(n{s}*p-q{s})*(n{s}*p-q{s})/(n{s}*p*(1-p)+1)"
+    return {"b": f"SELECT site, y, var, bin FROM ({bins}) UNION ALL SELECT 'all', y, var, bin FROM ({bins})",
+            "t": "SELECT site, var, count(*) AS n, sum(y) AS q, avg(y) AS p FROM b GROUP BY 1,2",
+            "l": f"""SELECT b.site, c.var, c.cut, m.ml, count(*) AS nl, sum(y) AS ql FROM b JOIN ({cuts}) c USING (var) CROSS JOIN (VALUES (false),(true)) m(ml)
+             WHERE (bin IS NULL AND ml) OR bin<=c.cut GROUP BY 1,2,3,4""",
+            "s": f"""SELECT *, {gain('l')}+{gain('r')}-{gain('')} AS gain FROM (SELECT l.*, t.n, t.q, t.p, n-nl AS nr, q-ql AS qr FROM l JOIN t USING (site, var))
+             WHERE nl>=20 AND nr>=20"""}
+
+
+@query("boosted_stumps", sql("""SELECT site, var AS feature, cut, ml AS missing_left, round((ql-nl*p)/(nl*p*(1-p)+1),6) AS left_value,
+ round((qr-nr*p)/(nr*p*(1-p)+1),6) AS right_value FROM s WHERE gain>1e-9 QUALIFY row_number() OVER (PARTITION BY site ORDER BY round(gain,8) DESC, ml, var, cut)=1""",
+                             "sm", extra=_stump_sql()))
+def boosted_stumps(spark, d):
+    """The first split of every site's trees and of the pooled ones, over fixed bins of three variables."""
+    xs = [f"x{j}" for j in _STUMP]
+    m = I.site_matrix(spark, d).select("site", "y", "row_id", *xs)
+    model = GT.fit_grouped(m, "site", "y", xs, ["row_id"], iterations=1, leaves=2, rate=1.0, share=0.0, edges=list(_STUMP.values()))
+    rows = [(name or "all", t.feature[0], t.cut[0], t.missing_left[0], float(t.value[1]), float(t.value[2]))
+            for name, trees in zip(model.names, model.trees) for t in trees]
+    out = spark.createDataFrame(rows, "site string, feature int, cut int, missing_left boolean, left_value double, right_value double")
+    return out.select("site", "feature", "cut", "missing_left", F.round("left_value", 6).alias("left_value"), F.round("right_value", 6).alias("right_value"))
 
 
 @query("mask_informativeness")
