@@ -13,7 +13,6 @@ from sitelattice.operators.matrix import column_stats
 from sitelattice.operators.memberships import fit_bank
 
 RIDGE = 1e-3
-KNN_BLOCK = 4096
 
 
 def _means(df: DataFrame, xs: list[str]) -> np.ndarray:
@@ -147,84 +146,48 @@ def chained_equations(df: DataFrame, xs: list[str], sweeps: int = 10, ridge: flo
     return lambda x: replay(x, history)[0] * sd + mu
 
 
-def forest_impute(df: DataFrame, xs: list[str], ids: list[str], trees: int = 20, depth: int = 8,
-                  sweeps: int = 4, seed: int = 0) -> DataFrame:
-    """Iterative imputation with a random forest per column, one Spark fit per column."""
+def fit_forest_imputer(df: DataFrame, xs: list[str], trees: int = 20, depth: int = 8, sweeps: int = 4, seed: int = 0):
+    """Iterative imputation with a random forest per column, one Spark fit per column and sweep.
+
+    Returns the fitted rows and a function that fills other rows by the same forests in the same order.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
     from sitelattice.session import materialise
     mu = _means(df, xs)
-    cur = df.select(*df.columns, *[F.col(x).isNull().alias(f"__m{j}") for j, x in enumerate(xs)])
-    cur = cur.fillna({x: float(mu[j]) for j, x in enumerate(xs)})
-    cur = materialise(cur)
-    gaps = cur.agg(*[F.count_if(F.col(f"__m{j}")).alias(str(j)) for j in range(len(xs))]).first()
-    order = sorted((j for j in range(len(xs)) if gaps[str(j)] > 0), key=lambda j: gaps[str(j)])
+    flags = [f"__m{j}" for j in range(len(xs))]
+    others = [VectorAssembler(inputCols=[x for i, x in enumerate(xs) if i != j], outputCol="__f") for j in range(len(xs))]
+
+    def opened(rows: DataFrame) -> DataFrame:
+        gaps = rows.select("*", *[F.col(x).isNull().alias(m) for x, m in zip(xs, flags)])
+        return materialise(gaps.fillna({x: float(mu[j]) for j, x in enumerate(xs)}))
+
+    def filled(rows: DataFrame, j: int, model) -> DataFrame:
+        p = model.transform(others[j].transform(rows))
+        return p.withColumn(xs[j], F.when(F.col(flags[j]), F.col("__p")).otherwise(F.col(xs[j]))).drop("__f", "__p")
+
+    cur = opened(df)
+    gaps = cur.agg(*[F.count_if(F.col(m)).alias(m) for m in flags]).first()
+    order = sorted((j for j, m in enumerate(flags) if gaps[m] > 0), key=lambda j: gaps[flags[j]])
+    history = []
     for _ in range(sweeps):
+        past = []
         for j in order:
-            va = VectorAssembler(inputCols=[x for i, x in enumerate(xs) if i != j], outputCol="__f")
-            rows = va.transform(cur)
-            m = RandomForestRegressor(featuresCol="__f", labelCol=xs[j], predictionCol="__p",
-                                      numTrees=trees, maxDepth=depth, seed=seed).fit(rows.where(~F.col(f"__m{j}")))
-            cur = m.transform(rows).withColumn(
-                xs[j], F.when(F.col(f"__m{j}"), F.col("__p")).otherwise(F.col(xs[j]))).drop("__f", "__p")
+            forest = RandomForestRegressor(featuresCol="__f", labelCol=xs[j], predictionCol="__p", numTrees=trees, maxDepth=depth, seed=seed)
+            past.append((j, forest.fit(others[j].transform(cur.where(~F.col(flags[j]))))))
+            cur = filled(cur, *past[-1])
         cur = materialise(cur)
-    return cur.drop(*[f"__m{j}" for j in range(len(xs))])
+        history.append(past)
 
+    def apply(rows: DataFrame) -> DataFrame:
+        out = opened(rows)
+        for past in history:
+            for j, model in past:
+                out = filled(out, j, model)
+            out = materialise(out)
+        return out.drop(*flags)
 
-def knn_impute(df: DataFrame, xs: list[str], row: str, k: int = 5, block: int = KNN_BLOCK) -> DataFrame:
-    """Missing cells filled by the mean of the k nearest rows that have the column.
-
-    Distance is Euclidean over the coordinates both rows have, scaled up for those they lack;
-    ties go by row id. Exact: rows are hashed into bounded blocks, every pair of blocks is
-    compared by one task in numpy, and only each row's k best per column leave a block pair.
-    """
-    spark = df.sparkSession
-    d = len(xs)
-    n = df.count()
-    parts = max(1, -(-n // block))
-    arr = F.array(*[F.col(x).cast("double") for x in xs])
-    rows = df.select(F.col(row).alias("id"), arr.alias("v"),
-                     F.pmod(F.xxhash64(row), F.lit(parts)).cast("int").alias("b"))
-    packed = rows.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("rows"))  # ~block rows each
-    needs = rows.where(F.exists("v", lambda e: e.isNull())).groupBy("b").agg(
-        F.collect_list(F.struct("id", "v")).alias("q"))
-    grid = needs.select(F.col("b").alias("qb"), "q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"))
-    pairs = grid.join(packed, "b").repartition(max(parts, 8), "qb", "b")
-
-    def nearest(batches):
-        for pdf in batches:
-            for q, r in zip(pdf["q"], pdf["rows"]):
-                qi, qv = [e["id"] for e in q], np.array([list(e["v"]) for e in q], float)
-                ri, rv = np.array([e["id"] for e in r], object), np.array([list(e["v"]) for e in r], float)
-                order = np.argsort(ri.astype(str), kind="stable")
-                ri, rv = ri[order], rv[order]
-                ro = ~np.isnan(rv)
-                rz = np.where(ro, rv, 0.0)
-                out = []
-                for i, x in zip(qi, qv):
-                    o = ~np.isnan(x)
-                    common = (ro & o).sum(1)
-                    diff = np.where(ro & o, rz - np.where(o, x, 0.0), 0.0)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        dist = np.round(np.sqrt((diff**2).sum(1) * d / common), 9)
-                    for j in np.flatnonzero(~o):
-                        c = np.flatnonzero(ro[:, j] & (common > 0))
-                        c = c[np.argsort(dist[c], kind="stable")[:k]]
-                        out += [(i, int(j), float(dist[t]), ri[t], float(rv[t, j])) for t in c]
-                yield pd.DataFrame(out, columns=["id", "var", "dist", "donor", "value"])
-
-    near = pairs.select("q", "rows").mapInPandas(
-        nearest, "id string, var int, dist double, donor string, value double")
-    best = near.groupBy("id", "var").agg(F.slice(F.array_sort(F.collect_list(
-        F.struct("dist", "donor", "value"))), 1, k).alias("top"))  # at most k per block pair
-    fill = best.select("id", "var", (F.aggregate("top", F.lit(0.0), lambda a, t: a + t.value)
-                                     / F.size("top")).alias("fill"))
-    wide = fill.groupBy("id").agg(*[F.max(F.when(F.col("var") == j, F.col("fill"))).alias(f"__f{j}") for j in range(d)])
-    mu = column_stats(df, [], xs)
-    means = mu.agg(*[F.max(F.when(F.col("var") == j, F.col("mean"))).alias(f"__m{j}") for j in range(d)])
-    j2 = df.join(wide, F.col(row) == F.col("id"), "left").join(F.broadcast(means))  # one row
-    other = [c for c in df.columns if c not in xs]
-    return j2.select(*other, *[F.coalesce(x, f"__f{j}", f"__m{j}", F.lit(0.0)).alias(x) for j, x in enumerate(xs)])
+    return cur.drop(*flags), apply
 
 
 def reduced_feature_ensemble(train: DataFrame, test: DataFrame, y: str, xs: list[str]) -> DataFrame:

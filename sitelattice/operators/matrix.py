@@ -110,16 +110,19 @@ def impute_mean(df: DataFrame, groups: list[str], xs: list[str]) -> DataFrame:
                       for j, x in enumerate(xs)])
 
 
-def indicator_design(df: DataFrame, xs: list[str]) -> DataFrame:
-    """Imputed values beside the raw mask: ``x0.. , m0..``."""
+def indicator_design(df: DataFrame, xs: list[str], means_of: DataFrame | None = None) -> DataFrame:
+    """Imputed values beside the raw mask: ``x0.. , m0..``. The means are those of ``means_of``, if given."""
     flags = df.select("*", *[F.col(x).isNotNull().cast("double").alias(f"m{j}")
                              for j, x in enumerate(xs)])
-    return impute_mean(flags, [], xs)
+    if means_of is None:
+        return impute_mean(flags, [], xs)
+    mean = means_of.agg(*[F.avg(x).alias(x) for x in xs]).first()
+    return flags.withColumns({x: F.coalesce(x, F.lit(mean[x]), F.lit(0.0)) for x in xs})
 
 
-def interaction_design(df: DataFrame, xs: list[str], out: str = "features") -> DataFrame:
+def interaction_design(df: DataFrame, xs: list[str], out: str = "features", means_of: DataFrame | None = None) -> DataFrame:
     """Sparse vector [x, m, m (x) x] of length d + d + d*d."""
-    d = indicator_design(df, xs)
+    d = indicator_design(df, xs, means_of)
     ms = [f"m{j}" for j in range(len(xs))]
     d = VectorAssembler(inputCols=xs, outputCol="__x").transform(d)
     d = VectorAssembler(inputCols=ms, outputCol="__m").transform(d)
@@ -182,7 +185,8 @@ def recorded_variables(sites: DataFrame, site_no: str, d: int, overlap: float) -
 
 def mask_by_site_block(df: DataFrame, xs: list[str], site_no: str, overlap: float) -> DataFrame:
     other = [c for c in df.columns if c not in xs]
-    seen = df.join(recorded_variables(df, site_no, len(xs), overlap), site_no)
+    # a row without a site number stays, with nothing recorded
+    seen = df.join(recorded_variables(df, site_no, len(xs), overlap), site_no, "left")
     return seen.select(*other, *[F.when(F.array_contains("recorded", j), F.col(x)).alias(x) for j, x in enumerate(xs)])
 
 

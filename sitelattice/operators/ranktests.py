@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelattice.operators.ordered import _same, average_ranks, quantile_columns
 from sitelattice.session import materialise
 
 _ALL = "__all"
+#: Pairs up to which the signed-rank p-value is exact, as long as no two differences tie and none is zero.
+EXACT_PAIRS = 50
 
 
 def normal_tail_two_sided(z: Column) -> Column:
@@ -70,11 +72,29 @@ def partial_spearman(df: DataFrame, groups: list[str], x: str, y: str, given: st
         den > 0, (F.col("rxy") - F.col("rxz") * F.col("ryz")) / den).alias("partial_rho"))
 
 
+def signed_rank_null(spark: SparkSession, most: int = EXACT_PAIRS) -> DataFrame:
+    """(__n, __w, __p): two-sided p of a smaller rank sum w among n untied differences.
+
+    Every rank falls on either side with equal chance, so the chance of a sum is the share of subsets
+    of 1..n that have it: counts of n - 1 ranks, plus the same counts moved up by n.
+    """
+    rows, counts = [], [1]
+    for n in range(1, most + 1):
+        wider = counts + [0] * n
+        counts = [c + (counts[w - n] if w >= n else 0) for w, c in enumerate(wider)]
+        below = 0
+        for w in range(n * (n + 1) // 4 + 1):
+            below += counts[w]
+            rows.append((n, w, min(1.0, 2 * below / 2**n)))
+    return spark.createDataFrame(rows, "__n int, __w int, __p double")
+
+
 def signed_rank(df: DataFrame, groups: list[str], diff: str) -> DataFrame:
     """Wilcoxon signed-rank with zero differences split between the signs.
 
-    Returns w_plus, w_minus, z (normal approximation with tie correction) and p; an
-    all-zero group has p = 1.
+    Returns w_plus, w_minus, z (normal approximation with tie correction), p and exact. The p-value of at most
+    ``EXACT_PAIRS`` differences without ties and zeros is that of the null distribution, else that of z;
+    an all-zero group has p = 1.
     """
     d = df.where(F.col(diff).isNotNull()).withColumn("__abs", F.abs(diff))
     ranks = average_ranks(d, groups, "__abs").withColumnRenamed("n", "__tie")
@@ -95,10 +115,12 @@ def signed_rank(df: DataFrame, groups: list[str], diff: str) -> DataFrame:
     ties = F.col("__t") + (z0 * z0 * z0 - z0)
     var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     z = F.when(var > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(var))
-    out = a.withColumn("z", F.when(F.col("__nz") > 0, z))
-    return out.select(*groups, "n_pairs", "w_plus", "w_minus", "z",
-                      F.when(F.col("__nz") == 0, F.lit(1.0)).otherwise(
-                          normal_tail_two_sided(F.col("z"))).alias("p"))
+    exact = (F.col("n_pairs") <= EXACT_PAIRS) & (F.col("__t") == 0) & (F.col("__z") == 0)
+    out = a.withColumn("z", F.when(F.col("__nz") > 0, z)).withColumn("exact", exact)
+    null = F.broadcast(signed_rank_null(df.sparkSession))  # fixed size: EXACT_PAIRS decides
+    at = F.col("exact") & (F.col("n_pairs") == F.col("__n")) & (F.least("w_plus", "w_minus").cast("int") == F.col("__w"))
+    return out.join(null, at, "left").select(*groups, "n_pairs", "w_plus", "w_minus", "z", F.when(F.col("__nz") == 0, F.lit(1.0)).when(
+        F.col("exact"), F.col("__p")).otherwise(normal_tail_two_sided(F.col("z"))).alias("p"), "exact")
 
 
 def holm(df: DataFrame, groups: list[str], p: str, tie: str) -> DataFrame:
@@ -141,7 +163,7 @@ def paired_test_table(folds: DataFrame, reference: str, metric: str) -> DataFram
     if short:
         raise ValueError(f"fewer than two usable pairs for {short[0]['method']!r}")
     med = quantile_columns(d, ["method"], "diff", {"median_diff": 0.5})
-    test = signed_rank(d, ["method"], "diff").withColumnRenamed("p", "p_raw").drop("n_pairs")
+    test = signed_rank(d, ["method"], "diff").withColumnRenamed("p", "p_raw").drop("n_pairs", "exact")
     out = holm(counts.join(med, "method").join(test, "method"), [], "p_raw", "method")
     if out.limit(1).count() == 0:
         raise ValueError(f"no method to compare against {reference!r}")

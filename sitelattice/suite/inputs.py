@@ -264,9 +264,9 @@ CTES = {
 NEEDS = {"sm": ["smraw"], "cf": ["sm"], "dec1": ["dec0"], "dec": ["dec1"], "sl": ["sm"], "sp": ["sl", "sm"]}
 
 
-def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(training, held-out) rows, 70 to 30, stratified by outcome."""
-    s = materialise(stratified_split(df.withColumn("all", F.lit(0)), "all", "y", ["row_id"], "holdout").drop("all"))
+def split(df: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(training, held-out) rows, 70 to 30, stratified by outcome, and within a column's groups if named."""
+    s = materialise(stratified_split(df.withColumn("all", F.col(by) if by else F.lit(0)), "all", "y", ["row_id"], "holdout").drop("all"))
     return s.where("NOT is_test"), s.where("is_test")
 
 

@@ -11,6 +11,7 @@ from sitelattice.operators import grouped_trees as GT
 from sitelattice.operators import imputation as IM
 from sitelattice.operators import matrix as M
 from sitelattice.operators import metrics as ME
+from sitelattice.operators import neighbours as NB
 from sitelattice.operators import patternblend as PB
 from sitelattice.operators import patternmodels as PM
 from sitelattice.operators import patterns as PT
@@ -44,30 +45,32 @@ _KNN = f"""SELECT q.row_id, r.row_id AS donor, {_A}, round(sqrt(({_SQ})*5.0/({_C
                   f" QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY dist, donor)<=5) GROUP BY 1) k{j} ON k{j}.row_id=u.row_id" for j in range(5))
        + " CROSS JOIN (SELECT " + ", ".join(f"avg(x{j}) AS m{j}" for j in range(5)) + " FROM ud)", "ud", extra={"pr": _KNN}).replace("pr AS (", "pr AS MATERIALIZED ("))
 def knn_impute(spark, d):
-    k = IM.knn_impute(materialise(I.user_day(spark, d)), DAY, "row_id", 5)
+    k = NB.knn_impute(materialise(I.user_day(spark, d)), DAY, "row_id", 5)
     return k.select("row_id", *[r5(F.col(x), x) for x in DAY])
 
 
 @query("knn_impute_logistic")
 def knn_impute_logistic(spark, d):
-    k = materialise(IM.knn_impute(materialise(I.user_day(spark, d)), DAY, "row_id", 5))
-    return _quality(SM.pooled_fit(k, "y", DAY, indicators=False)[1](k))
+    """Donors are training rows for both parts."""
+    train, test = split(I.user_day(spark, d))
+    tr = materialise(NB.knn_impute(train, DAY, "row_id", 5))
+    return _quality(SM.pooled_fit(tr, "y", DAY, indicators=False)[1](NB.knn_impute(test, DAY, "row_id", 5, donors=train)))
 
 
 @query("chained_equations")
 def chained_equations(spark, d):
     """Fitted on the training part, replayed on the held-out part, then a logistic."""
     train, test = split(I.site_matrix(spark, d))
-    fill = IM.chained_equations(train, XS, sweeps=5)
+    fill = IM.chained_equations(train, XS)
     tr = materialise(IM.mapped(train, XS, fill, XS))
     return _quality(SM.pooled_fit(tr, "y", XS, indicators=False)[1](IM.mapped(test, XS, fill, XS)))
 
 
 @query("forest_impute")
 def forest_impute(spark, d):
-    u = materialise(I.user_day(spark, d))
-    f = IM.forest_impute(u, DAY, ["row_id"], trees=5, depth=5, sweeps=1)
-    return _quality(SM.pooled_fit(materialise(f), "y", DAY, indicators=False)[1](f))
+    train, test = split(I.user_day(spark, d))
+    filled, apply = IM.fit_forest_imputer(train, DAY)
+    return _quality(SM.pooled_fit(filled, "y", DAY, indicators=False)[1](apply(test)))
 
 
 @query("residual_mask")
@@ -78,19 +81,23 @@ def residual_mask(spark, d):
 
 @query("residual_mask_logistic")
 def residual_mask_logistic(spark, d):
-    r = materialise(M.impute_mean(IM.residual_mask(I.site_matrix(spark, d), XS), [], XS))
-    cols = [*XS, *[f"r{j}" for j in range(8)]]
-    return _quality(SM.pooled_fit(r, "y", cols, indicators=False)[1](r))
+    train, test = split(I.site_matrix(spark, d))
+    rs = [f"r{j}" for j in range(8)]
+    residual = IM.residual_mask_model(train, XS)
+    tr = materialise(IM.mapped(train, XS, residual, rs))
+    return _quality(SM.pooled_fit(tr, "y", [*XS, *rs], indicators=False)[1](IM.mapped(test, XS, residual, rs)))
 
 
 @query("mask_interaction_logistic")
 def mask_interaction_logistic(spark, d):
     """[x, m, m (x) x] sparse design, C = 1e-4 on the summed loss."""
-    v = materialise(M.interaction_design(I.site_matrix(spark, d), XS).select("y", "features"))
+    train, test = split(I.site_matrix(spark, d))
+    v = materialise(M.interaction_design(train, XS).select("y", "features"))
+    held = M.interaction_design(test, XS, means_of=train)
     n = v.count()
     m = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (1e-4 * n), elasticNetParam=0.0,
                            standardization=False, maxIter=100).fit(v)
-    return _quality(m.transform(v).select("y", vector_to_array("probability")[1].alias("p")))
+    return _quality(m.transform(held).select("y", vector_to_array("probability")[1].alias("p")))
 
 
 @query("reduced_feature_ensemble")

@@ -160,11 +160,34 @@ _SIGNED = f"""SELECT method, count(*) AS n_pairs, sum(CASE WHEN diff>0 THEN r WH
 _Z = "(least(w_plus,w_minus)-n_pairs*(n_pairs+1)/4.0)/sqrt(n_pairs::DOUBLE*(n_pairs+1)*(2*n_pairs+1)/24.0-ties/48.0)"
 
 
-@query("signed_rank", sql(f"""SELECT method, n_pairs, w_plus, w_minus, CASE WHEN nz>0 THEN round({_Z},6) END AS z FROM sg""",
-                          "fo", extra={"pairs": _PAIRS, "sg": _SIGNED}))
+def _null_ctes(most: int) -> dict[str, str]:
+    """Subsets of 1..n by their sum, and twice the share of those at or below a sum."""
+    return {"sub": f"""SELECT 0 AS n, 0 AS w, 1.0::DOUBLE AS c UNION ALL
+             SELECT n+1, w+s*(n+1), sum(c) FROM sub CROSS JOIN (VALUES (0),(1)) v(s) WHERE n<{most} GROUP BY n, w+s*(n+1)""",
+            "nul": "SELECT n, w, least(1.0, 2*sum(c) OVER (PARTITION BY n ORDER BY w)/pow(2.0,n)) AS p FROM sub"}
+
+
+_SIGNED_P = f"""SELECT {{keys}}, n_pairs, w_plus, w_minus, CASE WHEN nz>0 THEN round({_Z},6) END AS z,
+ round(CASE WHEN nz=0 THEN 1.0 WHEN exact THEN p ELSE {tail_sql(_Z)} END,6) AS p, exact FROM (
+ SELECT *, n_pairs<={RT.EXACT_PAIRS} AND ties=0 AND nz=n_pairs AS exact FROM {{src}}) LEFT JOIN nul ON exact AND n=n_pairs AND w=least(w_plus,w_minus)"""
+
+
+@query("signed_rank", sql(_SIGNED_P.format(keys="method", src="sg"), "fo", extra={"pairs": _PAIRS, "sg": _SIGNED, **_null_ctes(RT.EXACT_PAIRS)}, recursive=True))
 def signed_rank(spark, d):
     p = RT.paired_differences(I.fold_metrics(spark, d), "m0", "metric")
-    return RT.signed_rank(p, ["method"], "diff").select("method", "n_pairs", "w_plus", "w_minus", r6(F.col("z"), "z"))
+    t = RT.signed_rank(p, ["method"], "diff")
+    return t.select("method", "n_pairs", "w_plus", "w_minus", r6(F.col("z"), "z"), r6(F.col("p"), "p"), "exact")
+
+
+_BY_FOLD = _SIGNED.replace("method,", "method, fold,").replace("PARTITION BY method", "PARTITION BY method, fold").replace("GROUP BY 1", "GROUP BY 1,2")
+
+
+@query("signed_rank_by_fold", sql(_SIGNED_P.format(keys="method, fold", src="sg"), "fo", extra={"pairs": _PAIRS, "sg": _BY_FOLD, **_null_ctes(RT.EXACT_PAIRS)}, recursive=True))
+def signed_rank_by_fold(spark, d):
+    """Few pairs a group: the exact distribution, but where differences tie."""
+    p = RT.paired_differences(I.fold_metrics(spark, d), "m0", "metric")
+    t = RT.signed_rank(p, ["method", "fold"], "diff")
+    return t.select("method", "fold", "n_pairs", "w_plus", "w_minus", r6(F.col("z"), "z"), r6(F.col("p"), "p"), "exact")
 
 
 @query("paired_join", sql("SELECT method, seed, fold, round(diff,6) AS diff FROM pairs", "fo", extra={"pairs": _PAIRS}))

@@ -148,27 +148,27 @@ def ancestor_discrepancy(spark, d):
 
 # --- fitted pattern models -----------------------------------------------------------------
 
-def _fit_patterns(spark, d, floor=30):
-    u = materialise(I.user_day(spark, d))
+def _fit_patterns(u, floor=30):
     real, fit = fitted_patterns(u, DAY, floor)
     mu, sd = PM.observed_scaler(u, DAY)
     theta = materialise(PM.fit_submodels(u, DAY, "y", real, fit, mu, sd))
-    return u, real, fit, mu, sd, theta
+    return real, fit, mu, sd, theta
 
 
 @query("pattern_submodels")
 def pattern_submodels(spark, d):
-    return _fit_patterns(spark, d)[-1].select("pattern", "var", r5(F.col("value"), "value"))
+    return _fit_patterns(materialise(I.user_day(spark, d)))[-1].select("pattern", "var", r5(F.col("value"), "value"))
 
 
 @query("hierarchical_shrinkage")
 def hierarchical_shrinkage(spark, d):
-    """kappa = median support; metrics of the cover prediction and the no-match rate."""
-    u, _, fit, mu, sd, theta = _fit_patterns(spark, d)
+    """kappa = median support; metrics of the cover prediction of held-out rows and their no-match rate."""
+    train, test = split(I.user_day(spark, d))
+    _, fit, mu, sd, theta = _fit_patterns(train)
     edges = PT.immediate_ancestors(fit, 5)
     kappa = PM.median_support(fit)
-    prior = u.agg(F.avg("y").alias("m")).first()["m"]
-    p = materialise(PM.cover_predict(u, DAY, PM.shrink(theta, fit, edges, [kappa]), fit, prior, mu, sd))
+    prior = train.agg(F.avg("y").alias("m")).first()["m"]
+    p = materialise(PM.cover_predict(test, DAY, PM.shrink(theta, fit, edges, [kappa]), fit, prior, mu, sd))
     m = ME.score_metrics(p, [])
     miss = p.agg(F.avg((F.col("n_models") == 0).cast("double")).alias("no_match_rate"))
     return m.join(F.broadcast(miss)).select(  # one row each
@@ -181,17 +181,18 @@ def _root_of(score) -> dict[int, float]:
 
 @query("rooted_shrinkage")
 def rooted_shrinkage(spark, d):
-    """Rooted at the mean-imputed pooled model; infinite kappa must equal that model."""
-    u, real, fit, _, _, _ = _fit_patterns(spark, d)
-    _, score = SM.pooled_fit(u, "y", DAY, indicators=False)
-    theta = materialise(PM.fit_submodels(u, DAY, "y", real, fit, score.mu, score.sd))
+    """Rooted at the mean-imputed pooled model; infinite kappa must equal that model. Scored on held-out rows."""
+    train, test = split(I.user_day(spark, d))
+    real, fit = fitted_patterns(train, DAY, 30)
+    _, score = SM.pooled_fit(train, "y", DAY, indicators=False)
+    theta = materialise(PM.fit_submodels(train, DAY, "y", real, fit, score.mu, score.sd))
     edges = materialise(PT.immediate_ancestors(fit, 5))
     root = _root_of(score)
-    base = materialise(score(u).select("row_id", F.col("p").alias("root_p")))
+    base = materialise(score(test).select("row_id", F.col("p").alias("root_p")))
     out = None
     for k in (0.0, 500.0, float("inf")):
         th = PM.shrink_rooted(theta, fit, edges, root, [k])
-        p = PM.cover_predict(u, DAY, th, fit, 0.5, score.mu, score.sd, root=root, fill=score.fill)
+        p = PM.cover_predict(test, DAY, th, fit, 0.5, score.mu, score.sd, root=root, fill=score.fill)
         p = materialise(p.join(base, "row_id"))
         gap = p.agg(F.max(F.abs(F.col("p") - F.col("root_p"))).alias("g"))
         row = ME.score_metrics(p, []).join(F.broadcast(gap)).select(  # one row each
@@ -309,8 +310,9 @@ def fedavg_one_variable(spark, d):
 
 @query("local_scores")
 def local_scores(spark, d):
-    m, model, coef = _site_fit(spark, d)
-    return ME.score_metrics(SM.score_local(m, "site", XS, model, coef), ["site"]).select(
+    train, test = split(I.site_matrix(spark, d), "site")
+    model, coef = SM.fit_sites(train, "site", "y", XS)
+    return ME.score_metrics(SM.score_local(test, "site", XS, model, coef), ["site"]).select(
         "site", "n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")])
 
 
@@ -357,16 +359,16 @@ def random_effects_merge(spark, d):
 
 @query("pooled_logistic")
 def pooled_logistic(spark, d):
-    m = materialise(I.site_matrix(spark, d))
-    _, score = SM.pooled_fit(m, "y", XS)
-    return ME.score_metrics(score(m), ["site"]).select("site", "n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")])
+    train, test = split(I.site_matrix(spark, d), "site")
+    _, score = SM.pooled_fit(train, "y", XS)
+    return ME.score_metrics(score(test), ["site"]).select("site", "n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")])
 
 
 @query("mean_impute_logistic")
 def mean_impute_logistic(spark, d):
-    m = materialise(I.site_matrix(spark, d))
-    _, score = SM.pooled_fit(m, "y", XS, indicators=False)
-    return ME.score_metrics(score(m), []).select("n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")])
+    train, test = split(I.site_matrix(spark, d))
+    _, score = SM.pooled_fit(train, "y", XS, indicators=False)
+    return ME.score_metrics(score(test), []).select("n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")])
 
 
 @query("aggregated_newton")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelattice.operators import imputation as IM
+from sitelattice.operators import neighbours as NB
 from sitelattice.operators import newton as N
 from sitelattice.operators import patternblend as PB
 from sitelattice.operators import fused as FU
@@ -205,8 +206,8 @@ def test_blend_oracle_never_below_pooled(df):
 
 
 def test_neighbours_do_not_depend_on_blocks(df):
-    a = IM.knn_impute(df, XS, "row_id", 5).orderBy("row_id").select(*XS).toPandas().to_numpy()
-    b = IM.knn_impute(df, XS, "row_id", 5, block=150).orderBy("row_id").select(*XS).toPandas().to_numpy()
+    a = NB.knn_impute(df, XS, "row_id", 5).orderBy("row_id").select(*XS).toPandas().to_numpy()
+    b = NB.knn_impute(df, XS, "row_id", 5, block=150).orderBy("row_id").select(*XS).toPandas().to_numpy()
     assert np.allclose(a, b) and not np.isnan(a).any()
 
 
