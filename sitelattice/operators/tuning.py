@@ -94,15 +94,20 @@ def _best_variants(s: DataFrame, site: str, cs: list[float], d: int) -> DataFram
     return allv.withColumn("c", grid_c).drop("ci").join(best, site)
 
 
-def learning_curve(df: DataFrame, site: str, y: str, xs: list[str], ids: list[str], seed,
-                   fractions: list[float] = FRACTIONS) -> DataFrame:
-    """(site, c1..c4, slope_last, climb_half, level): inner-CV AUPRC at nested fractions."""
+def nested_steps(df: DataFrame, site: str, y: str, ids: list[str], seed, fractions: list[float] = FRACTIONS) -> DataFrame:
+    """Rows with their inner fold and the first of the nested fractions that holds them (``step``)."""
     rows = _with_folds(df, site, y, ids, seed, FOLDS)
     step = F.lit(len(fractions) - 1)
     for i in range(len(fractions) - 1, -1, -1):
         step = F.when(F.col("__share") <= fractions[i], F.lit(i)).otherwise(step)
-    rows = materialise(rows.withColumn("__key", F.concat_ws(
-        "@", site, F.col("fold").cast("string"), step.cast("string"))))
+    return rows.withColumn("step", step).drop("__share")
+
+
+def learning_curve(df: DataFrame, site: str, y: str, xs: list[str], ids: list[str], seed,
+                   fractions: list[float] = FRACTIONS) -> DataFrame:
+    """(site, c1..c4, slope_last, climb_half, level): inner-CV AUPRC at nested fractions."""
+    rows = nested_steps(df, site, y, ids, seed, fractions)
+    rows = materialise(rows.withColumn("__key", F.concat_ws("@", site, F.col("fold").cast("string"), F.col("step").cast("string"))).drop("step"))
     st = key_stats(rows, "__key", y, xs)
     sites = sorted({k.rsplit("@", 2)[0] for k in st.keys})
     steps = range(len(fractions))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitelattice.operators import curverule as CR
 from sitelattice.operators import decisions as D
 from sitelattice.operators import merging as MG
 from sitelattice.operators import thresholds as T
+from sitelattice.operators import tuning as TU
 from sitelattice.operators.cohort import band
 from sitelattice.operators.ranktests import signed_rank
 from sitelattice.session import materialise
@@ -66,21 +68,63 @@ def rule_loso(spark, d):
     return r.select("feature", *[r6(F.col(c), c) for c in ("rho", "p", "loso_acc", "majority")])
 
 
-@query("learning_curve_rule", sql("SELECT feature AS statistic, round(rho,6) AS rho, round(loso_acc,6) AS loso_acc FROM rh LEFT JOIN ls USING (feature)", "dec",
-                                  extra={"lc": """SELECT site, helped, benefit, epv_target/(1+epv_target) AS level, i2_median AS slope_last, schema_jaccard AS climb_half FROM dec""",
-                                         **loso_ctes(["level", "slope_last", "climb_half"], "lc", "site", T.linspace(0.05, 0.95, 25)), "rh": _RHO}))
+_CUTS = [0.2, 0.4, 0.6, 0.8]
+_SLOPE = "+".join(f"coalesce(b{j}*(x{j}-a{j}),0)" for j in range(8))
+_LINE = ", ".join(f"regr_slope(y,x{j}) AS b{j}, avg(x{j}) AS a{j}" for j in range(8))
+_BAND = "CASE WHEN x0 IS NULL THEN -1 ELSE " + "+".join(f"(x0>{c})::INT" for c in _CUTS) + " END"
+_MODELS = "fr JOIN (SELECT unnest(range(4))::INT AS i) ON step<=i JOIN (SELECT unnest(range(3))::INT AS f) ON fold<>f"
+_CURVE = {
+    "nr": f"""SELECT *, row_number() OVER (PARTITION BY site, y ORDER BY {md5_sql('curve', 'row_id')}, row_id)-1 AS r,
+     count(*) OVER (PARTITION BY site, y) AS n FROM sm""",
+    "sh": "SELECT *, (r%3)::INT AS fold, (r//3+1)/ceil((n-r%3)/3.0::DOUBLE) AS share FROM nr",
+    "fr": f"SELECT *, CASE WHEN share<=0.25 THEN 0 WHEN share<=0.5 THEN 1 WHEN share<=0.75 THEN 2 ELSE 3 END AS step, {_BAND} AS band FROM sh",
+    "ln": f"SELECT site, i, f, {_LINE} FROM {_MODELS} GROUP BY 1,2,3",
+    "bn": f"SELECT site, i, f, band, (sum(y)+1)/(count(*)+2)::DOUBLE AS rate FROM {_MODELS} GROUP BY 1,2,3,4",
+    "cs": f"""SELECT 'slopes' AS kind, fr.site, i, f, y, round(1/(1+exp(-({_SLOPE}))),9) AS p FROM fr JOIN ln ON ln.site=fr.site AND f=fold UNION ALL
+     SELECT 'bands', fr.site, e.i, fold, y, round(coalesce(rate,0.5),9) FROM fr CROSS JOIN (SELECT unnest(range(4))::INT AS i) e
+     LEFT JOIN bn ON bn.site=fr.site AND bn.band=fr.band AND bn.i=e.i AND bn.f=fold""",
+    "cr": """SELECT kind, site, i, f, y, count(*) OVER w AS cn, sum(y) OVER w AS cp FROM (SELECT * REPLACE (least(greatest(p,1e-6),1-1e-6) AS p) FROM cs)
+     WINDOW w AS (PARTITION BY kind, site, i, f ORDER BY p DESC RANGE UNBOUNDED PRECEDING)""",
+    "ap": "SELECT kind, site, i, CASE WHEN sum(y)<count(*) THEN sum(y*cp::DOUBLE/cn)/nullif(sum(y),0) END AS ap FROM cr GROUP BY kind, site, i, f",
+    "cv": "SELECT kind, site, " + ", ".join(f"avg(CASE WHEN i={i} THEN ap END) AS c{i + 1}" for i in range(4)) + " FROM ap GROUP BY 1,2",
+    "st": """SELECT *, (c4-c3)/greatest(c4,1e-6) AS slope_last, (c4-c2)/greatest(c4,1e-6) AS climb_half, c4 AS level FROM cv
+     WHERE c1+c2+c3+c4 IS NOT NULL"""}
+
+
+def _curve_rows(spark, d):
+    """(site, kind, c1..c4, slope_last, climb_half, level) of the two classes of closed-form learners."""
+    rows = materialise(TU.nested_steps(I.site_matrix(spark, d), "site", "y", ["row_id"], "curve"))
+    slopes = CR.curves(CR.slope_scores(rows, "site", "y", I.XS), "site", "y").withColumn("kind", F.lit("slopes"))
+    bands = CR.curves(CR.band_scores(rows, "site", "y", "x0", _CUTS), "site", "y").withColumn("kind", F.lit("bands"))
+    return materialise(slopes.unionByName(bands))
+
+
+@query("closed_form_curves", sql("SELECT kind, site, " + ", ".join(f"round({c},6) AS {c}" for c in ("c1", "c2", "c3", "c4", "slope_last", "climb_half", "level"))
+                                 + " FROM st", "sm", extra=_CURVE))
+def closed_form_curves(spark, d):
+    return _curve_rows(spark, d).select("kind", "site", *[r6(F.col(c), c) for c in ("c1", "c2", "c3", "c4", "slope_last", "climb_half", "level")])
+
+
+_ASKED = "SELECT 'S'||lpad(CAST(o_orderkey%25 AS VARCHAR),2,'0') AS site, '{kind}' AS kind, epv_target, {arm} AS benefit, ({arm}>0)::INT AS helped FROM dec WHERE {arm} IS NOT NULL"
+
+
+@query("learning_curve_rule", sql(f"""SELECT feature AS statistic, kind, r.n, round(rho,6) AS rho, round(t,6) AS cut, dir AS direction,
+ round(correct/b.n::DOUBLE,6) AS acc, round(loso_acc,6) AS shared_acc, round(m,6) AS majority FROM rh r JOIN best b USING (key) JOIN ls USING (feature)
+ JOIN (SELECT feature, greatest(avg(helped),1-avg(helped)) AS m FROM lo GROUP BY 1) USING (feature)""", "sm", "dec", extra={
+    **_CURVE, "asked": " UNION ALL ".join(_ASKED.format(kind=k, arm=a) for k, a in (("slopes", "lr_merge"), ("bands", "gb_pooled"))),
+    "lc": "SELECT asked.*, slope_last, climb_half, level FROM asked JOIN st USING (site, kind)", **loso_ctes(CR.STATISTICS, "lc", "site", T.linspace(0.05, 0.95, 25)),
+    "own": " UNION ALL ".join(f"SELECT '{s}/'||kind AS key, '{s}' AS feature, kind, {s}::DOUBLE AS value, helped, benefit FROM lc" for s in CR.STATISTICS),
+    "rh": "SELECT key, feature, kind, count(*) AS n, corr(a,b) AS rho FROM (SELECT key, feature, kind, " + rank_sql("value", "key") + " AS a, "
+          + rank_sql("benefit", "key") + " AS b FROM own) GROUP BY 1,2,3",
+    **cut_ctes("own", "key", "value", "helped", T.linspace(0.05, 0.95, 25), ("lt", "ge"))}))
 def learning_curve_rule(spark, d):
-    """One threshold shared by all model classes, scored on held-out sites, per curve statistic."""
-    dec = I.decisions(spark, d).select(
-        "site", "helped", "benefit", (F.col("epv_target") / (1 + F.col("epv_target"))).alias("level"),
-        F.col("i2_median").alias("slope_last"), F.col("schema_jaccard").alias("climb_half"))
-    stats = ["level", "slope_last", "climb_half"]
-    long = materialise(T.long_features(dec, ["site", "helped", "benefit"], stats))
-    from sitelattice.operators.ranktests import spearman
-    rho = spearman(long, ["feature"], "value", "benefit")
-    acc = T.loso_accuracy(long, "feature", "site", "value", "helped", T.linspace(0.05, 0.95, 25))
-    return rho.join(acc, "feature", "left").select(
-        F.col("feature").alias("statistic"), r6(F.col("rho"), "rho"), r6(F.col("loso_acc"), "loso_acc"))
+    """Curves of every site and class joined to the decisions of that site and class; one threshold for both classes."""
+    dec = I.decisions(spark, d)
+    arms = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(a).alias("benefit")) for k, a in (("slopes", "lr_merge"), ("bands", "gb_pooled"))])
+    site = F.concat(F.lit("S"), F.lpad((F.col("o_orderkey") % 25).cast("string"), 2, "0"))
+    asked = dec.select(site.alias("site"), "epv_target", F.inline(arms)).withColumn("helped", (F.col("benefit") > 0).cast("int"))
+    r = CR.shared_threshold(asked, _curve_rows(spark, d))
+    return r.select("statistic", "kind", "n", "direction", *[r6(F.col(c), c) for c in ("rho", "cut", "acc", "shared_acc", "majority")])
 
 
 # --- combiners, terciles, laws -------------------------------------------------------------
