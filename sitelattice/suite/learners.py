@@ -109,7 +109,7 @@ def reduced_feature_ensemble(spark, d):
 @query("reduced_feature_trees")
 def reduced_feature_trees(spark, d):
     train, test = split(I.user_day(spark, d))
-    return _quality(BO.reduced_feature_trees(train, test, "y", DAY, ["row_id"], depth=4))
+    return _quality(BO.reduced_feature_trees(train, test, "y", DAY, ["row_id"]))
 
 
 @query("boosted_trees")
@@ -190,9 +190,9 @@ def pattern_blend(spark, d):
 @query("kappa_by_cv")
 def kappa_by_cv(spark, d):
     """Rooted shrinkage strength by inner CV: mean AUPRC of every kappa of the grid."""
-    u = materialise(stratified_folds(I.user_day(spark, d), ["row_id"], "y", "kappa", 2))
+    u = materialise(stratified_folds(I.user_day(spark, d), ["row_id"], "y", "kappa", 3))
     out = None
-    for f in range(2):
+    for f in range(3):
         tr, va = u.where(F.col("fold") != f), u.where(F.col("fold") == f)
         real, fit = fitted_patterns(tr, DAY)
         _, score = SM.pooled_fit(tr, "y", DAY, indicators=False)

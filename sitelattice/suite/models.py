@@ -409,7 +409,7 @@ def intercept_recalibration(spark, d):
 @query("fedavg")
 def fedavg(spark, d):
     m = materialise(I.site_matrix(spark, d))
-    _, snaps = SM.fedavg(m, "site", "y", XS, rounds=2, checkpoints=(1, 2))
+    _, snaps = SM.fedavg(m, "site", "y", XS, rounds=30)
     rows = [(r, j, float(w[j])) for r, w in snaps.items() for j in range(9)]
     return spark.createDataFrame(rows, "round int, var int, value double").withColumn("value", F.round("value", 5))
 
@@ -467,7 +467,7 @@ def strategy_comparison(spark, d):
     from sitelattice.operators import partners as PA
     m, sites, fit = _decision_setup(spark, d, (0,))
     pools = PA.candidates(PA.site_pairs(sites), prefix=2)
-    sub = PA.strategy_subsets(pools, "strategies", 4)
+    sub = PA.strategy_subsets(pools, "strategies", 12)
     mem = DT.draw_members(sites, [0], "s", subsets=sub, extra=["strategy"])
     o = DT.observations(m, "site", "y", XS, ["row_id"], [0], sites, members=mem, fit=fit, extra=["strategy"])
     return o.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), r5(F.avg("helped"), "helped"),
@@ -481,7 +481,7 @@ def dimension_ladder(spark, d):
     sites = materialise(site_table(spark, d))
     out = None
     for k in (3, 6):
-        o = DT.observations(m, "site", "y", XS[:k], ["row_id"], [0], sites, dataset=f"d{k}", draws=4)
+        o = DT.observations(m, "site", "y", XS[:k], ["row_id"], [0], sites, dataset=f"d{k}")
         row = o.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), r5(F.avg("epv_target"), "mean_epv"),
                                        r5(F.avg("benefit"), "mean_benefit"))
         out = row if out is None else out.unionByName(row)
@@ -492,7 +492,7 @@ def dimension_ladder(spark, d):
 def own_weight_curve(spark, d):
     """AUPRC by own-weight and partner count; best weight and share of merges that help."""
     _, sites, fit = _decision_setup(spark, d, (0,))
-    mem = DT.draw_members(sites, [0], "weights", 8)
+    mem = DT.draw_members(sites, [0], "weights")
     c = materialise(DT.own_weight_curve(fit, mem, "y", XS, [i / 10 for i in range(11)]))
     best = best_weight(c, ["decision", "n_partners"], "w", "auprc")
     return best.groupBy("n_partners").agg(F.count(F.lit(1)).alias("n"), r5(F.avg("w"), "mean_oracle_w"),
@@ -505,7 +505,7 @@ def own_weight_curve(spark, d):
 def multi_method_benchmark(spark, d):
     """Local, merged, random-effects and ensemble scores per decision, averaged by method."""
     _, sites, fit = _decision_setup(spark, d, (0,))
-    mem = DT.draw_members(sites, [0], "methods", 4)
+    mem = DT.draw_members(sites, [0], "methods")
     t = DT.method_table(DT.method_scores(fit, mem, "y", XS), "y")
     return t.groupBy("method").agg(F.count(F.lit(1)).alias("n"), *[
         r5(F.avg(c), c) for c in ("auroc", "auprc", "brier", "calibration_slope")])
@@ -515,7 +515,7 @@ def multi_method_benchmark(spark, d):
 def heterogeneity_comparison(spark, d):
     """Methods with and without a locally refitted intercept, paired against the merge."""
     _, sites, fit = _decision_setup(spark, d, (0,))
-    mem = DT.draw_members(sites, [0], "het", 4)
+    mem = DT.draw_members(sites, [0], "het")
     s = materialise(DT.method_scores(fit, mem, "y", XS))
     tr = DT.Fitted(fit.test, fit.train, fit.model, fit.coef, fit.sizes)  # score the training side
     mm = materialise(DT.complete(mem, fit))
@@ -532,7 +532,7 @@ def heterogeneity_comparison(spark, d):
 
 @query("repeated_cv")
 def repeated_cv(spark, d):
-    """Two repeats of stratified CV of the mean-imputed logistic on user-days."""
+    """One repeat of stratified CV of the mean-imputed logistic on user-days, in three folds."""
     u = materialise(I.user_day(spark, d))
 
     def method(train, test):
