@@ -48,9 +48,17 @@ def per_process(key, build: Callable):
     return _HELD[key]
 
 
+#: Lets Spark delete the shuffle files of a statement when the statement ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def step(df: DataFrame) -> DataFrame:
-    """``materialise``, then let Spark drop what led to it: shuffle files go when the driver's JVM
-    collects the plans that own them, which may otherwise be half an hour later."""
-    done = materialise(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return done
+    """``materialise`` for a step that is large: the shuffle files of its write go as soon as the table is
+    written, not when the driver happens to collect the plan that owns them."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialise(df)
+    finally:
+        conf.set(CLEANUP, before)
