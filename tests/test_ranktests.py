@@ -3,6 +3,7 @@
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitelattice.operators import ranktests as RT
 
@@ -22,3 +23,9 @@ def test_exact_p_counts_sign_assignments(spark, diffs):
 def test_ties_zeros_and_many_pairs_use_the_normal_tail(spark, diffs):
     row = RT.signed_rank(spark.createDataFrame([("m", d) for d in diffs], "g string, d double"), ["g"], "d").first()
     assert not row["exact"] and 0 <= row["p"] <= 1
+
+
+def test_rank_sums_beyond_32_bits(spark):
+    d = spark.range(140_000).select(F.lit("m").alias("g"), ((F.col("id") + 1) * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).cast("double").alias("d"))
+    row = RT.signed_rank(d, ["g"], "d").first()
+    assert not row["exact"] and row["w_plus"] + row["w_minus"] == 140_000 * 140_001 / 2
