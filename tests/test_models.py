@@ -108,6 +108,21 @@ def test_federated_round_equals_numpy(df, frame):
     assert np.allclose(snaps[2], w, atol=1e-9)
 
 
+def test_federated_rounds_pass_over_empty_tasks(df):
+    _, few = SM.fedavg(df, "site", "y", XS, rounds=1, checkpoints=(1,), local_epochs=1)
+    _, many = SM.fedavg(df.repartition(1200), "site", "y", XS, rounds=1, checkpoints=(1,), local_epochs=1)
+    assert np.allclose(few[1], many[1])
+
+
+def test_gradients_of_pairs_pass_over_empty_tasks(df):
+    from sitelattice.plans.combiners import pair_gradients
+    one = np.ones((3, 4), bool)
+    design = N.Design(["a", "b", "c"], np.zeros((3, 4)), one, np.zeros((3, 4)), np.ones((3, 4)), one, np.ones(3))
+    few = pair_gradients(df, "site", "y", XS, design, np.zeros((3, 5)))
+    many = pair_gradients(df.repartition(1200), "site", "y", XS, design, np.zeros((3, 5)))
+    assert np.allclose(few[0], many[0]) and np.allclose(many[1], 300)
+
+
 def test_ancestors_are_immediate(patterns):
     _, fit, edges = patterns
     key = lambda d: sorted(map(tuple, d.select("child", "parent").collect()))
