@@ -99,3 +99,17 @@ def test_held_out_site_rules(skewed, path):
         hits += (pred == (te["y"] == 1)).sum()
     assert got["n_scored"] == len(p)
     assert got["loso_acc"] == pytest.approx(hits / len(p), abs=1e-12)
+
+
+def test_quadratic_of_close_fractions(spark):
+    """Pools whose harm fractions differ by thousandths: the curve is the exact one."""
+    hits = [3590 + 2 * i for i in range(12)]
+    n = spark.createDataFrame([(f"p{i}", h) for i, h in enumerate(hits)], "pool string, h int")
+    d = n.select("pool", F.inline(F.transform(F.sequence(F.lit(1), F.lit(10_000)), lambda k: F.struct(
+        F.when(k <= F.col("h"), 2000).otherwise(10).alias("n_target")))))
+    f = np.array(hits) / 10_000
+    lift = -40 * (f - 0.3605) ** 2 + 0.01
+    law = spark.createDataFrame([(f"p{i}", float(v)) for i, v in enumerate(lift)], "pool string, lift double")
+    r = T.quadratic_sweep(d, law, "pool", [1000.0]).first()
+    assert r["curvature"] == pytest.approx(-40, abs=1e-6) and r["peak"] == pytest.approx(0.3605, abs=1e-8)
+    assert r["r2"] == pytest.approx(1.0, abs=1e-8)
