@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,6 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelattice.operators import newton as N
 from sitelattice.operators.matrix import column_stats
 from sitelattice.operators.memberships import fit_bank
 
@@ -97,6 +100,40 @@ def residual_mask(df: DataFrame, xs: list[str], ridge: float = RIDGE) -> DataFra
     return mapped(df, xs, residual_mask_model(df, xs, ridge), [f"r{j}" for j in range(len(xs))])
 
 
+@dataclass
+class MaskInteractions:
+    """Row function [x, m, m (x) x]: mean-filled values, the mask (1: observed), every mask times every value."""
+
+    mu: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        obs = (~np.isnan(x)).astype(float)
+        a = np.where(obs > 0, x, self.mu)
+        return np.column_stack([a, obs, (obs[:, :, None] * a[:, None, :]).reshape(len(x), -1)])
+
+
+def mask_interaction_logistic(df: DataFrame, y: str, xs: list[str], c: float = 1e-4):
+    """Logistic on [x, m, m (x) x] as it is, penalty 0.5|w|^2 + C*summed loss: a function that adds ``p``.
+
+    Rows hold the values only; the products are formed inside the scans and never stored.
+    """
+    d = len(xs) * (len(xs) + 2)
+    expand = MaskInteractions(_means(df, xs))
+    zero, one, every = np.zeros((1, d)), np.ones((1, d)), np.ones((1, d), bool)
+    theta, _, _ = N.fit(df.withColumn("__k", F.lit("all")), "__k", y, xs, N.Design(
+        ["all"], zero, every, zero, one, every, np.array([c]), expand=expand))
+    w, b = theta[0, :-1], float(theta[0, -1])
+
+    def p(x):
+        return 1 / (1 + np.exp(-np.clip(expand(x) @ w + b, -35, 35)))[:, None]
+
+    def score(rows: DataFrame) -> DataFrame:
+        return mapped(rows, xs, p, ["p"])
+
+    score.weights, score.bias = w, b
+    return score
+
+
 def chained_equations(df: DataFrame, xs: list[str], sweeps: int = 10, ridge: float = 1e-3):
     """Iterative ridge imputation; returns a function on row matrices.
 

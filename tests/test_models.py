@@ -123,6 +123,18 @@ def test_gradients_of_pairs_pass_over_empty_tasks(df):
     assert np.allclose(few[0], many[0]) and np.allclose(many[1], 300)
 
 
+def test_mask_interactions_equal_numpy(df, frame):
+    x = frame[XS].to_numpy(float)
+    mu, obs = np.nanmean(x, axis=0), (~np.isnan(x)).astype(float)
+    a = np.where(obs > 0, x, mu)
+    z = np.hstack([a, obs, np.einsum("ni,nj->nij", obs, a).reshape(len(x), -1)])
+    want = newton_fit(z, frame["y"].to_numpy(), 1e-2)
+    score = IM.mask_interaction_logistic(df, "y", XS, 1e-2)
+    assert np.allclose(np.r_[score.weights, score.bias], want, atol=1e-6)
+    got = score(df).select("row_id", "p").toPandas().set_index("row_id")["p"][frame["row_id"]].to_numpy()
+    assert np.allclose(got, 1 / (1 + np.exp(-(z @ want[:-1] + want[-1]))), atol=1e-6)
+
+
 def test_ancestors_are_immediate(patterns):
     _, fit, edges = patterns
     key = lambda d: sorted(map(tuple, d.select("child", "parent").collect()))
