@@ -79,6 +79,21 @@ def test_one_class_has_no_discrimination(spark):
     assert r["auroc"] is None and r["auprc"] is None and r["prevalence"] == 1.0
 
 
+def test_missing_scores_count_nowhere_and_one_range_may_hold_all(spark):
+    rows = [("a", i % 2, 0.3 + i * 1e-9) for i in range(50)] + [("a", 1, None), ("b", 1, None), (None, 0, 0.1), (None, 1, 0.9), (None, 1, 0.1)]
+    d = spark.createDataFrame(rows, "g string, y int, p double")
+    got = {r["g"]: r for r in ME.score_metrics(d, ["g"]).collect()}
+    assert set(got) == {"a", None} and got["a"]["n"] == 50 and got["a"]["n_positive"] == 25
+    assert got["a"]["auroc"] == pytest.approx(325 / 625) and got[None]["auroc"] == pytest.approx(0.75)
+
+
+def test_metrics_write_nothing(skewed, monkeypatch):
+    """One exchange of the scores and no table between."""
+    monkeypatch.setattr(O, "materialise", None)
+    monkeypatch.setattr(ME, "materialise", None)
+    assert ME.score_metrics(skewed, ["g"], "y", "v").count() > 0
+
+
 def test_held_out_site_rules(skewed, path):
     """Against direct fitting on the other sites' rows."""
     d = skewed.withColumn("f", F.lit("v"))
