@@ -72,7 +72,7 @@ def _grid_scores(rows: DataFrame, y: str, xs: list[str], sites: list[str], train
                     active[name] = act
                     where.setdefault(f"{s}@{f}", []).append(name)
     bank = fit_bank(rows, "__key", y, xs, models, c_of, active, stats=st)
-    return score_metrics(score_bank(rows, "__key", [y], xs, bank, where), ["model"], y)
+    return score_metrics(materialise(score_bank(rows, "__key", [y], xs, bank, where)), ["model"], y)
 
 
 def _best_variants(s: DataFrame, site: str, cs: list[float], d: int) -> DataFrame:
@@ -117,7 +117,7 @@ def learning_curve(df: DataFrame, site: str, y: str, xs: list[str], ids: list[st
                   for k in group for i in steps for f in range(FOLDS)}
         where = {f"{k}@{f}@{j}": [f"{k}~{i}~{f}" for i in steps] for k in group for f in range(FOLDS) for j in steps}
         bank = fit_bank(rows, "__key", y, xs, models, 1.0, stats=st, threshold=0.5)
-        m = score_metrics(score_bank(rows, "__key", [y], xs, bank, where), ["model"], y)
+        m = score_metrics(materialise(score_bank(rows, "__key", [y], xs, bank, where)), ["model"], y)
         s = m if s is None else s.unionByName(m)
     parts = F.split("model", "~")
     c = s.select(parts[0].alias(site), parts[1].cast("int").alias("i"), "auprc").groupBy(site).agg(
