@@ -96,3 +96,25 @@ def test_no_rows(spark, rows):
     model = GT.fit_grouped(none, "site", "y", XS, ["id"], iterations=2)
     s = GT.score_grouped(frame(spark, rows), "site", model).select("p_local", "p_ensemble", "p_pooled").first()
     assert tuple(s) == (None, None, None)
+
+
+def test_finished_trees_are_applied_once():
+    """A level gets the growing trees only; the scores of finished ones come with the blocks."""
+    import inspect
+    assert "recent" not in inspect.signature(GT._best_splits).parameters
+    assert "recent" not in inspect.signature(GT._refreshed).parameters
+
+
+def test_rows_of_leaves():
+    rng = np.random.default_rng(0)
+    bins = rng.integers(0, 6, (400, 2)).astype(np.uint8)
+    bins[rng.random((400, 2)) < 0.2] = GT.MISSING
+    t = GT.Tree()
+    a, b = t.split(0, 0, 2, True, (0.1, 0.2))
+    c, d = t.split(b, 1, 3, False, (0.3, 0.4))
+    left = (bins[:, 0] <= 2) | (bins[:, 0] == GT.MISSING)
+    low = (bins[:, 1] <= 3) & (bins[:, 1] != GT.MISSING)
+    want = np.where(left, a, np.where(low, c, d))
+    assert (t.nodes(bins) == want).all()
+    got = t.rows(bins.T, [c])
+    assert list(got) == [c] and (got[c] == np.flatnonzero(want == c)).all()
