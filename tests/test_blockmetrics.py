@@ -68,3 +68,12 @@ def test_no_row_a_score(spark, rows):
 def test_no_models(spark, rows):
     models = spark.createDataFrame([], "unit string, i int, intercept double, __coef array<double>, __mu array<double>, __sd array<double>")
     assert BM.linear_metrics(rows, models, ["i"], "unit", "y", XS).count() == 0
+
+
+def test_dimension_ladder_splits_once(spark, small, monkeypatch):
+    from sitelattice.plans import decision_table as DT
+    from sitelattice.suite import models
+    calls, real = [], DT.split_rows
+    monkeypatch.setattr(DT, "split_rows", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+    assert models.dimension_ladder(spark, small).count() == 2
+    assert len(calls) == 1
