@@ -77,3 +77,9 @@ def test_dimension_ladder_splits_once(spark, small, monkeypatch):
     monkeypatch.setattr(DT, "split_rows", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
     assert models.dimension_ladder(spark, small).count() == 2
     assert len(calls) == 1
+
+
+def test_local_scores_without_a_row_a_score(spark, small, monkeypatch):
+    from sitelattice.suite import models
+    monkeypatch.setattr(models.SM, "score_local", None)
+    assert models.local_scores(spark, small).count() > 0
