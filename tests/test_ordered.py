@@ -128,3 +128,16 @@ def test_quadratic_of_close_fractions(spark):
     r = T.quadratic_sweep(d, law, "pool", [1000.0]).first()
     assert r["curvature"] == pytest.approx(-40, abs=1e-6) and r["peak"] == pytest.approx(0.3605, abs=1e-8)
     assert r["r2"] == pytest.approx(1.0, abs=1e-8)
+
+
+def test_first_by_hash_equals_row_numbers_and_moves_no_rows(spark):
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("g"))
+    rows = rows.unionByName(spark.createDataFrame([("one", 9)], "id string, g long"))  # round(0.3) rows: none
+    want = O.hash_row_number(rows, ["g"], ["id"], "s").where(F.col("rn") <= F.round(F.col("group_n") * 0.3)).select("id")
+    got = O.first_by_hash(rows, ["g"], ["id"], "s", 0.3, "first")
+    assert got.count() == 5001 and got.columns == ["id", "g", "first"]
+    assert sorted(r[0] for r in got.where("first").collect()) == sorted(r[0] for r in want.collect())
+    whole = O.first_by_hash(rows, [], ["id"], "s", 0.35, "first")
+    assert whole.where("first").count() == 1750
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
