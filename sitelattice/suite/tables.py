@@ -14,6 +14,7 @@ from sitelattice.operators import matrix as M
 from sitelattice.operators import sampling as P
 from sitelattice.operators.ordered import quantile_columns
 from sitelattice.sources import readers as R
+from sitelattice.session import materialise
 from sitelattice.suite import inputs as I
 from sitelattice.suite.inputs import DAY, TYPES, XS, md5_sql, sql, table, u_sql
 from sitelattice.suite.registry import query
@@ -332,7 +333,7 @@ _PERM = """SELECT h.row_id, {out} FROM
     out="round(h.x0,6) AS x0, round(h.x5,6) AS x5, " + ", ".join(
         f"CASE WHEN w.x{j} IS NULL THEN 0 ELSE 1 END AS m{j}" for j in range(8))), "sm"))
 def permute_mask(spark, d):
-    m = M.permute_mask(I.site_matrix(spark, d), XS, ["row_id"], "perm")
+    m = M.permute_mask(materialise(I.site_matrix(spark, d).select("row_id", *XS)), XS, ["row_id"], "perm")
     return m.select("row_id", r6(F.col("x0"), "x0"), r6(F.col("x5"), "x5"), *[f"m{j}" for j in range(8)])
 
 
