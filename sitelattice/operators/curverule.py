@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelattice.operators import thresholds as T
+from sitelattice.operators.blockmetrics import linear_metrics
 from sitelattice.operators.metrics import score_metrics
 from sitelattice.operators.ranktests import spearman
 from sitelattice.operators.tuning import FOLDS, FRACTIONS
@@ -28,10 +29,10 @@ def _training_sums(rows: DataFrame, site: str, by: list[str], sums: dict[str, Co
     return models.groupBy(site, *by, "i", "f").agg(*[F.sum(k).alias(k) for k in sums])
 
 
-def slope_scores(rows: DataFrame, site: str, y: str, xs: list[str], steps: int = len(FRACTIONS)) -> DataFrame:
-    """(site, i, f, y, p): held-out rows scored by the sum of single-variable least-squares lines.
+def slope_metrics(rows: DataFrame, site: str, y: str, xs: list[str], steps: int = len(FRACTIONS)) -> DataFrame:
+    """Metrics by (site, i, f) of held-out rows scored by the sum of single-variable least-squares lines.
 
-    ``rows`` carry fold and step (``tuning.nested_steps``). A missing cell, or a variable without spread, adds nothing.
+    A site's fold is scored by all its fractions' lines where it is read. ``rows`` carry fold and step (``tuning.nested_steps``). A missing cell, or a variable without spread, adds nothing.
     """
     sums = {}
     for j, x in enumerate(xs):
@@ -44,14 +45,18 @@ def slope_scores(rows: DataFrame, site: str, y: str, xs: list[str], steps: int =
         spread = col("n", j) * col("ss", j) - col("s", j) * col("s", j)
         lines += [F.when(spread > 1e-12, (col("n", j) * col("st", j) - col("s", j) * col("t", j)) / spread).alias(f"b{j}"),
                   F.when(col("n", j) > 0, col("s", j) / col("n", j)).alias(f"a{j}")]
-    m = m.select(site, "i", F.col("f").alias("fold"), *lines)
-    z = sum((F.coalesce(F.col(f"b{j}") * (F.col(x) - F.col(f"a{j}")), F.lit(0.0)) for j, x in enumerate(xs)), F.lit(0.0))
-    scored = rows.join(m, [site, "fold"])
-    return scored.select(site, "i", F.col("fold").alias("f"), y, F.round(1 / (1 + F.exp(-z)), DECIMALS).alias("p"))
+    pick = lambda k: F.array(*[F.col(f"{k}{j}") for j in range(len(xs))])
+    unit = lambda f: F.concat_ws("~", site, f)
+    models = m.select(site, "i", "f", *lines).select(
+        unit("f").alias("__unit"), site, "i", "f", F.lit(0.0).alias("intercept"), pick("b").alias("__coef"), pick("a").alias("__mu"),
+        F.array(*[F.lit(1.0)] * len(xs)).alias("__sd"))
+    return linear_metrics(rows.withColumn("__unit", unit("fold")), models, [site, "i", "f"], "__unit", y, xs, decimals=DECIMALS)
 
 
-def band_scores(rows: DataFrame, site: str, y: str, x: str, cuts: list[float], steps: int = len(FRACTIONS)) -> DataFrame:
-    """(site, i, f, y, p): held-out rows scored by the event rate of their band, one event and one other row added.
+def band_metrics(rows: DataFrame, site: str, y: str, x: str, cuts: list[float], steps: int = len(FRACTIONS)) -> DataFrame:
+    """Metrics by (site, i, f) of held-out rows scored by the event rate of their band, one event and one other row added.
+
+    Rows of a band and outcome share their scores, so they collapse before they are scored.
 
     Missing values are a band of their own; a band without training rows has rate 0.5.
     """
@@ -59,15 +64,16 @@ def band_scores(rows: DataFrame, site: str, y: str, x: str, cuts: list[float], s
     rows = rows.withColumn("band", band)
     m = _training_sums(rows, site, ["band"], {"n": F.lit(1), "pos": F.col(y)}, steps)
     m = m.select(site, "band", "i", F.col("f").alias("fold"), ((F.col("pos") + 1) / (F.col("n") + 2)).alias("rate"))
-    every = rows.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(steps)])))
+    alike = rows.groupBy(site, "band", "fold", y).agg(F.count(F.lit(1)).alias("n"))
+    every = alike.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(steps)])))
     scored = every.join(m, [site, "band", "i", "fold"], "left")
-    return scored.select(site, "i", F.col("fold").alias("f"), y, F.round(F.coalesce("rate", F.lit(0.5)), DECIMALS).alias("p"))
+    p = F.round(F.coalesce("rate", F.lit(0.5)), DECIMALS)
+    return score_metrics(scored.select(site, "i", F.col("fold").alias("f"), y, p.alias("p"), "n"), [site, "i", "f"], y, weight="n")
 
 
-def curves(scored: DataFrame, site: str, y: str, steps: int = len(FRACTIONS)) -> DataFrame:
-    """(site, c1.., slope_last, climb_half, level) from the average precision of every fold; sites with a fraction
+def curves(m: DataFrame, site: str, steps: int = len(FRACTIONS)) -> DataFrame:
+    """(site, c1.., slope_last, climb_half, level) from the average precision of every (site, i, f); sites with a fraction
     of which no fold can be scored have no curve."""
-    m = score_metrics(scored, [site, "i", "f"], y)
     c = m.groupBy(site).agg(*[F.avg(F.when(F.col("i") == i, F.col("auprc"))).alias(f"c{i + 1}") for i in range(steps)]).dropna()
     last = F.col(f"c{steps}")
     per = F.greatest(last, F.lit(1e-6))

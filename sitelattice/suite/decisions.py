@@ -93,9 +93,10 @@ _CURVE = {
 
 def _curve_rows(spark, d):
     """(site, kind, c1..c4, slope_last, climb_half, level) of the two classes of closed-form learners."""
-    rows = materialise(TU.nested_steps(I.site_matrix(spark, d), "site", "y", ["row_id"], "curve"))
-    slopes = CR.curves(CR.slope_scores(rows, "site", "y", I.XS), "site", "y").withColumn("kind", F.lit("slopes"))
-    bands = CR.curves(CR.band_scores(rows, "site", "y", "x0", _CUTS), "site", "y").withColumn("kind", F.lit("bands"))
+    m = materialise(I.site_matrix(spark, d).select("row_id", "site", "y", *I.XS))
+    rows = materialise(TU.nested_steps(m, "site", "y", ["row_id"], "curve").drop("row_id"))
+    slopes = CR.curves(CR.slope_metrics(rows, "site", "y", I.XS), "site").withColumn("kind", F.lit("slopes"))
+    bands = CR.curves(CR.band_metrics(rows, "site", "y", "x0", _CUTS), "site").withColumn("kind", F.lit("bands"))
     return materialise(slopes.unionByName(bands))
 
 
