@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sitelattice.operators import newton as N
 from sitelattice.operators.matrix import column_stats
 from sitelattice.operators.memberships import fit_bank
+from sitelattice.session import materialise
 
 RIDGE = 1e-3
 
@@ -137,9 +138,9 @@ def mask_interaction_logistic(df: DataFrame, y: str, xs: list[str], c: float = 1
 def chained_equations(df: DataFrame, xs: list[str], sweeps: int = 10, ridge: float = 1e-3):
     """Iterative ridge imputation; returns a function on row matrices.
 
-    One scan per sweep: the moments of all columns' regressions are gathered together, then
-    columns are updated in order of missingness. The fitted sweeps are replayed on any rows,
-    so nothing is rewritten between sweeps.
+    Within a missingness pattern the filled cells are linear in the observed ones, so the rows collapse first, in one
+    scan, to the moments of every pattern's observed cells. A sweep fills these moments, gathers those of all columns'
+    regressions and then updates the columns in order of missingness; rows are not read again.
     """
     d = len(xs)
     stats = column_stats(df, [], xs).orderBy("var").toPandas()
@@ -148,30 +149,36 @@ def chained_equations(df: DataFrame, xs: list[str], sweeps: int = 10, ridge: flo
     sd = np.where(sd > 0, sd, 1.0)
     order = np.argsort(-stats["n_obs"].to_numpy(), kind="stable")
     history: list[np.ndarray] = []
-
-    def replay(x, history):
-        miss = np.isnan(x)
-        z = np.where(miss, 0.0, (x - mu) / sd)
+    patterns = materialise(_pattern_moments(df, xs, mu, sd))
+    cells = [c for c in patterns.columns if c.startswith("q")]
+    upper = np.triu_indices(d + 1)
+
+    def filler(miss, history):
+        """Rows of [z, 1] after the sweeps, as combinations of the observed [z, 1]."""
+        m = np.eye(d + 1)
+        m[:d][miss] = 0.0
         for w in history:
             for j in order:
-                at = miss[:, j]
-                if at.any():
-                    z[at, j] = z[at] @ w[:d, j] + w[d, j]
-        return z, miss
+                if miss[j]:
+                    m[j] = w[:, j] @ m
+        return m
 
     for _ in range(sweeps):
         past = list(history)
 
-        def moments(x):
-            z, miss = replay(x, past)
-            a = np.column_stack([z, np.ones(len(z))])
+        def moments(rows):
             out = np.zeros((d * (d + 1), d + 1))
-            for j in range(d):
-                o = ~miss[:, j]
-                out[j * (d + 1):(j + 1) * (d + 1)] = a[o].T @ a[o]
+            for r in rows:
+                miss, g = r[:d] == 0, np.zeros((d + 1, d + 1))
+                g[upper] = r[d:]
+                g = g + np.triu(g, 1).T
+                m = filler(miss, past)
+                g = m @ g @ m.T
+                for j in np.flatnonzero(~miss):
+                    out[j * (d + 1):(j + 1) * (d + 1)] += g
             return out
 
-        g = summed_rows(df, xs, moments, (d * (d + 1), d + 1)).reshape(d, d + 1, d + 1)
+        g = summed_rows(patterns, [*[f"o{j}" for j in range(d)], *cells], moments, (d * (d + 1), d + 1)).reshape(d, d + 1, d + 1)
         w = np.zeros((d + 1, d))
         for j in range(d):
             o = np.array([i for i in range(d + 1) if i != j])
@@ -180,7 +187,28 @@ def chained_equations(df: DataFrame, xs: list[str], sweeps: int = 10, ridge: flo
             w[o, j] = np.linalg.solve(g[j][np.ix_(o, o)] + pen, g[j][o, j])
         history.append(w)
 
-    return lambda x: replay(x, history)[0] * sd + mu
+    def fill(x):
+        gaps = np.isnan(x)
+        z = np.column_stack([np.where(gaps, 0.0, (x - mu) / sd), np.ones(len(x))])
+        seen, at = np.unique(gaps, axis=0, return_inverse=True)
+        at = at.ravel()
+        for k, miss in enumerate(seen):
+            if miss.any():
+                rows = np.flatnonzero(at == k)
+                z[np.ix_(rows, np.flatnonzero(miss))] = z[rows] @ filler(miss, history)[:d][miss].T
+        return z[:, :d] * sd + mu
+
+    return fill
+
+
+def _pattern_moments(df: DataFrame, xs: list[str], mu: np.ndarray, sd: np.ndarray) -> DataFrame:
+    """A row a missingness pattern: o0.. (1: observed) and q0.., the upper triangle of the sums of products of
+    [z, 1], where a missing cell is zero."""
+    z = [F.coalesce((F.col(x) - float(mu[j])) / float(sd[j]), F.lit(0.0)) for j, x in enumerate(xs)]
+    rows = df.select(*[F.col(x).isNotNull().cast("int").alias(f"o{j}") for j, x in enumerate(xs)], *[c.alias(f"z{j}") for j, c in enumerate(z)])
+    side = [*[F.col(f"z{j}") for j in range(len(xs))], F.lit(1.0)]
+    pairs = [(a, b) for a in range(len(side)) for b in range(a, len(side))]
+    return rows.groupBy(*[f"o{j}" for j in range(len(xs))]).agg(*[F.sum(side[a] * side[b]).alias(f"q{k}") for k, (a, b) in enumerate(pairs)])
 
 
 def fit_forest_imputer(df: DataFrame, xs: list[str], trees: int = 20, depth: int = 8, sweeps: int = 4, seed: int = 0):
@@ -190,7 +218,6 @@ def fit_forest_imputer(df: DataFrame, xs: list[str], trees: int = 20, depth: int
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
-    from sitelattice.session import materialise
     mu = _means(df, xs)
     flags = [f"__m{j}" for j in range(len(xs))]
     others = [VectorAssembler(inputCols=[x for i, x in enumerate(xs) if i != j], outputCol="__f") for j in range(len(xs))]
