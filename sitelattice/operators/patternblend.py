@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelattice.functions.scalars import logit
+from sitelattice.operators.blockmetrics import linear_metrics
 from sitelattice.operators.matrix import column_stats
-from sitelattice.operators.memberships import fit_bank, score_bank
+from sitelattice.operators.memberships import Bank, fit_bank
 from sitelattice.operators.metrics import score_metrics
-from sitelattice.operators.ordered import hash_row_number
+from sitelattice.operators.ordered import first_by_hash
 from sitelattice.session import materialise
 
 LAMBDAS = [i / 8 for i in range(9)]
@@ -36,9 +39,9 @@ def fit_blend(train: DataFrame, test: DataFrame, group: str, y: str, xs: list[st
     fill = column_stats(train, [], xs).orderBy("var").toPandas()["mean"].fillna(0.0).astype(float).tolist()
     tr, zs = _design(train, xs, fill)
     te, _ = _design(test, xs, fill)
-    r = hash_row_number(tr, [], ids, seed)
-    tr = materialise(r.withColumn("inner", (F.col("rn") <= F.round(F.col("group_n") * INNER)).cast("int")).withColumn(
-        "__key", F.concat_ws("~", group, F.col("inner").cast("string"))).drop("rn", "group_n"))
+    r = first_by_hash(tr.select(*ids, group, y, *zs), [], ids, seed, INNER, "inner")
+    tr = materialise(r.withColumn("inner", F.col("inner").cast("int")).withColumn(
+        "__key", F.concat_ws("~", group, F.col("inner").cast("string"))).drop(*ids))
     sizes = tr.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"), F.sum("inner").alias("n_val"),
         F.sum(F.when(F.col("inner") == 0, F.col(y)).otherwise(0)).alias("fit_pos")).toPandas()
@@ -55,37 +58,57 @@ def fit_blend(train: DataFrame, test: DataFrame, group: str, y: str, xs: list[st
     for g in sizes[group][inner_ok]:
         models[f"inner~{g}"] = [f"{g}~0"]
     bank = fit_bank(tr, "__key", y, zs, models)
-    val = score_bank(tr.where("inner = 1"), "__key", [*ids, group, y], zs, bank,
-                     {f"{g}~1": ["pool~inner", f"inner~{g}"] for g in sizes[group][inner_ok]})
-    v = _pair(val, [*ids, group, y], "pool~inner")
-    grid = F.explode(F.array(*[F.lit(x) for x in LAMBDAS]))
-    cand = v.withColumn("lam", grid).withColumn("z", (1 - F.col("lam")) * F.col("z_local") + F.col("lam") * F.col("z_pool"))
-    s = score_metrics(cand.select(group, "lam", y, (1 / (1 + F.exp(-F.col("z")))).alias("p")), [group, "lam"], y)
+    v = _scored(tr.where("inner = 1"), [group, y], group, zs, bank, "pool~inner",
+                {g: f"inner~{g}" for g in sizes[group][inner_ok]}).where("z_local IS NOT NULL")
+    tried = sizes[[group]][inner_ok].merge(pd.DataFrame({"lam": LAMBDAS}), how="cross")
+    blends = tr.sparkSession.createDataFrame(tried, f"{group} string, lam double").select(
+        group, "lam", F.lit(0.0).alias("raw_b"), F.array(1 - F.col("lam"), "lam").alias("__raw"), F.array(F.lit(0.0), F.lit(0.0)).alias("__mu"))
+    s = linear_metrics(materialise(v), blends, [group, "lam"], group, y, ["z_local", "z_pool"], "raw")
     lam = s.where("auprc IS NOT NULL").groupBy(group).agg(
         F.max(F.struct("auprc", (-F.col("lam")).alias("l"))).alias("b")).select(group, (-F.col("b.l")).alias("lam"))
-    te = te.withColumn("__key", F.col(group))
-    groups = [r[0] for r in test.select(group).distinct().collect()]  # one per pattern
-    fitted = set(sizes[group][fit_ok])
-    out = score_bank(te, "__key", [*ids, group, y], zs, bank,
-                     {g: ["pool", f"local~{g}"] if g in fitted else ["pool"] for g in groups})
-    scored = _pair(out, [*ids, group, y], "pool")
     lam = materialise(lam)
+    scored = _scored(te, [*ids, group, y], group, zs, bank, "pool", {g: f"local~{g}" for g in sizes[group][fit_ok]})
     return scored.join(lam, group, "left"), lam
 
 
-def _pair(scored: DataFrame, keys: list[str], pool: str) -> DataFrame:
-    z = logit(F.col("p"))
-    return scored.groupBy(*keys).agg(
-        F.max(F.when(F.col("model") == pool, z)).alias("z_pool"),
-        F.max(F.when(F.col("model") != pool, z)).alias("z_local"))
+def _scored(rows: DataFrame, carry: list[str], group: str, zs: list[str], bank: Bank, pool: str, local: dict[str, str]) -> DataFrame:
+    """(carry, z_pool, z_local): each row under the pooled model and, where its group has one, under the group's, in one scan."""
+    at = {n: i for i, n in enumerate(bank.names)}
+    w, b = bank.raw()
+    own = {g: at[m] for g, m in local.items() if bank.ok[at[m]]}
+    pooled = at[pool] if bank.ok[at[pool]] else None
+    shared = rows.sparkSession.sparkContext.broadcast((w, b, own, pooled))
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in carry) + ", __pp double, __pl double"
+
+    def scan(batches):
+        w, b, own, pooled = shared.value
+        for pdf in batches:
+            x = pdf[zs].to_numpy(dtype=float)
+            m = pdf[group].map(own).to_numpy(dtype=float)
+            has = ~np.isnan(m)
+            k = m[has].astype(int)
+            zl = np.full(len(x), np.nan)
+            zl[has] = b[k] + np.einsum("ij,ij->i", x[has], w[k])
+            zp = np.full(len(x), np.nan) if pooled is None else b[pooled] + x @ w[pooled]
+            yield pdf[carry].assign(**{n: 1 / (1 + np.exp(-np.clip(z, -35, 35))) for n, z in (("__pp", zp), ("__pl", zl))})
+
+    p = rows.select(*dict.fromkeys([*carry, group]), *zs).mapInPandas(scan, schema)
+    z = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c), logit(F.col(c)))
+    return p.select(*carry, z("__pp").alias("z_pool"), z("__pl").alias("z_local"))
+
+
+def arm_score(name: str) -> Column:
+    """Score of a row of ``fit_blend`` by pooled, local or blend_cv."""
+    zp, zl, lam = F.col("z_pool"), F.col("z_local"), F.col("lam")
+    z = {"pooled": zp, "local": F.coalesce(zl, zp),
+         "blend_cv": F.coalesce((1 - lam) * zl + lam * zp, zp)}[name]
+    return 1 / (1 + F.exp(-z))
 
 
 def arm(scored: DataFrame, name: str) -> DataFrame:
     """Add ``p`` for pooled, local or blend_cv."""
-    zp, zl, lam = F.col("z_pool"), F.col("z_local"), F.col("lam")
-    z = {"pooled": zp, "local": F.coalesce(zl, zp),
-         "blend_cv": F.coalesce((1 - lam) * zl + lam * zp, zp)}[name]
-    return scored.withColumn("p", 1 / (1 + F.exp(-z)))
+    return scored.withColumn("p", arm_score(name))
 
 
 def blend_oracle(scored: DataFrame, group: str, y: str, passes: int = 3) -> DataFrame:

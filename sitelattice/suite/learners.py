@@ -73,7 +73,7 @@ def forest_impute(spark, d):
 
 @query("residual_mask")
 def residual_mask(spark, d):
-    r = IM.residual_mask(I.site_matrix(spark, d), XS)
+    r = IM.residual_mask(materialise(I.site_matrix(spark, d).select("site", *XS)), XS)
     return r.groupBy("site").agg(*[r5(F.avg(f"r{j}"), f"r{j}") for j in range(8)])
 
 
@@ -173,11 +173,8 @@ def pattern_blend(spark, d):
     m = I.site_matrix(spark, d).withColumn("pattern", PM.pattern_key(XS))
     train, test = split(m)
     scored = materialise(PB.fit_blend(train, test, "pattern", "y", XS, ["row_id"])[0])
-    out = None
-    for a in ("pooled", "local", "blend_cv"):
-        row = _quality(PB.arm(scored, a)).select(F.lit(a).alias("arm"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    arms = F.array(*[F.struct(F.lit(a).alias("arm"), PB.arm_score(a).alias("p")) for a in ("pooled", "local", "blend_cv")])
+    return ME.score_metrics(scored.select("y", F.inline(arms)), ["arm"]).select("arm", "n", *[r5(F.col(c), c) for c in ("auroc", "auprc", "brier")])
 
 
 @query("kappa_by_cv")

@@ -280,3 +280,21 @@ def test_containment_in_slices(spark):
             got = PT.containment(given, given, 9, strict, size).select("e.pattern", F.col("o.pattern").alias("large"), "e.__slice")
             assert sorted(tuple(r)[:2] for r in got.collect()) == want
             assert (got.select("__slice").distinct().count() > 5) == (size == 7)
+
+
+def test_blend_groups_without_a_model_stay_pooled_and_rows_stay_in_place(df):
+    d = df.withColumn("g", F.when(F.col("row_id") < "r0020", F.lit("few")).otherwise(F.lit("many")))
+    scored, _ = PB.fit_blend(d, d, "g", "y", XS, ["row_id"])
+    assert "Aggregate" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["g"]: r for r in scored.groupBy("g").agg(F.count("z_local").alias("l"), F.count("z_pool").alias("p"), F.count("lam").alias("w")).collect()}
+    assert got["few"]["l"] == 0 and got["few"]["w"] == 0 and got["few"]["p"] > 0
+    assert got["many"]["l"] == got["many"]["p"] == got["many"]["w"] > 0
+
+
+def test_chained_equations_read_the_rows_twice(df, frame, monkeypatch):
+    """Column statistics and pattern moments read the rows; a sweep reads the patterns."""
+    seen = []
+    real = IM.summed_rows
+    monkeypatch.setattr(IM, "summed_rows", lambda rows, *a: seen.append(rows.count()) or real(rows, *a))
+    out = IM.chained_equations(df, XS, sweeps=2)(frame[XS].to_numpy())
+    assert len(seen) == 2 and max(seen) <= 2 ** len(XS) and not np.isnan(out).any()
