@@ -63,9 +63,10 @@ def fit_blend(train: DataFrame, test: DataFrame, group: str, y: str, xs: list[st
     tried = sizes[[group]][inner_ok].merge(pd.DataFrame({"lam": LAMBDAS}), how="cross")
     blends = tr.sparkSession.createDataFrame(tried, f"{group} string, lam double").select(
         group, "lam", F.lit(0.0).alias("raw_b"), F.array(1 - F.col("lam"), "lam").alias("__raw"), F.array(F.lit(0.0), F.lit(0.0)).alias("__mu"))
+    # of equal average precisions the smaller lambda wins, whatever order the sums were added in
     s = linear_metrics(materialise(v), blends, [group, "lam"], group, y, ["z_local", "z_pool"], "raw")
     lam = s.where("auprc IS NOT NULL").groupBy(group).agg(
-        F.max(F.struct("auprc", (-F.col("lam")).alias("l"))).alias("b")).select(group, (-F.col("b.l")).alias("lam"))
+        F.max(F.struct(F.round("auprc", 12), (-F.col("lam")).alias("l"))).alias("b")).select(group, (-F.col("b.l")).alias("lam"))
     lam = materialise(lam)
     scored = _scored(te, [*ids, group, y], group, zs, bank, "pool", {g: f"local~{g}" for g in sizes[group][fit_ok]})
     return scored.join(lam, group, "left"), lam
