@@ -83,3 +83,12 @@ def test_local_scores_without_a_row_a_score(spark, small, monkeypatch):
     from sitelattice.suite import models
     monkeypatch.setattr(models.SM, "score_local", None)
     assert models.local_scores(spark, small).count() > 0
+
+
+def test_weighted_rows_score_like_repeated_ones(spark):
+    from pyspark.sql import functions as F
+    from sitelattice.operators.metrics import score_metrics
+    rows = spark.createDataFrame([("a", 0.2, 0, 3), ("a", 0.2, 1, 2), ("a", 0.7, 1, 5), ("a", 0.9, 0, 1), ("a", None, 1, 4)], "g string, p double, y int, w long")
+    many = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
+    a, b = (list(x.first()) for x in (score_metrics(rows, ["g"], weight="w"), score_metrics(many, ["g"])))
+    assert a[1:3] == b[1:3] == [11, 7] and max(abs(x - y) for x, y in zip(a[3:], b[3:])) < 1e-12
