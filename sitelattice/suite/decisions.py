@@ -64,7 +64,7 @@ _RHO = "SELECT feature, count(*) AS n, corr(a,b) AS rho FROM (SELECT feature, "
  round(m,6) AS majority FROM rh LEFT JOIN ls USING (feature) CROSS JOIN (SELECT greatest(avg(helped),1-avg(helped)) AS m FROM dec)""", "dec",
                         extra={**loso_ctes(FEATURES, "dec", "site", T.linspace(0.05, 0.95, 19)), "rh": _RHO}))
 def rule_loso(spark, d):
-    r = T.evaluate_rules(materialise(I.decisions(spark, d)), FEATURES)
+    r = T.evaluate_rules(materialise(I.decisions(spark, d).select("site", "helped", "benefit", *FEATURES)), FEATURES)
     return r.select("feature", *[r6(F.col(c), c) for c in ("rho", "p", "loso_acc", "majority")])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelattice.functions.hashing import digest
 from sitelattice.operators import metrics as ME
 from sitelattice.operators import ordered as O
+from sitelattice.operators import ranktests as RT
 from sitelattice.operators import thresholds as T
 
 
@@ -116,6 +117,40 @@ def test_held_out_site_rules(skewed, path):
     assert got["loso_acc"] == pytest.approx(hits / len(p), abs=1e-12)
 
 
+def test_rules_order_the_cells_once(spark, monkeypatch):
+    """Against pandas, with ties, nulls and many blocks; the tables written hold the benefits and the cells once."""
+    rnd = np.random.default_rng(5)
+    n = 6000
+    a, b = np.round(rnd.normal(size=n), 4), rnd.integers(0, 3, n).astype(float)
+    gain = np.round(0.3 * a + rnd.normal(size=n), 2)
+    rows = [(f"s{i % 4}", float(a[i]), None if i % 9 == 0 else float(b[i]), None if i % 50 == 0 else float(gain[i]),
+             int(gain[i] > 0)) for i in range(n)]
+    d = spark.createDataFrame(rows, "site string, a double, b double, benefit double, helped int")
+    written, plain = [], O.materialise
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    for m in (O, T, RT):
+        monkeypatch.setattr(m, "materialise", counted)
+    got = {r["feature"]: r for r in T.evaluate_rules(d, ["a", "b"]).collect()}
+    p = d.toPandas()
+    for f in "ab":
+        q = p.dropna(subset=[f, "benefit"])
+        assert got[f]["rho"] == pytest.approx(q[f].rank().corr(q["benefit"].rank()), abs=1e-12)
+        q, hits = p.dropna(subset=[f]), 0
+        for s in q["site"].unique():
+            tr, te = q[q["site"] != s], q[q["site"] == s]
+            rules = [(t, sign) for t in np.quantile(tr[f], T.linspace(0.05, 0.95, 19)) for sign in (True, False)]
+            t, sign = max(rules, key=lambda r: (((tr[f] < r[0]) == r[1]) == (tr["helped"] == 1)).sum())
+            hits += (((te[f] < t) == sign) == (te["helped"] == 1)).sum()
+        assert got[f]["loso_acc"] == pytest.approx(hits / len(q), abs=1e-12)
+    cells = sum(len(p.dropna(subset=[f])[["site", f]].drop_duplicates()) for f in "ab")
+    assert sum(written) <= cells + 2 * p["benefit"].nunique() + 1500
+
+
 def test_quadratic_of_close_fractions(spark):
     """Pools whose harm fractions differ by thousandths: the curve is the exact one."""
     hits = [3590 + 2 * i for i in range(12)]
