@@ -114,6 +114,20 @@ def test_federated_rounds_pass_over_empty_tasks(df):
     assert np.allclose(few[1], many[1])
 
 
+def test_private_fedavg_runs_all_rounds(spark, small, monkeypatch):
+    from sitelattice.suite import models
+
+    class Asked(Exception):
+        pass
+
+    def fedavg(*_, rounds, checkpoints, **__):
+        raise Asked(rounds, checkpoints)
+    monkeypatch.setattr(SM, "fedavg", fedavg)
+    with pytest.raises(Asked) as asked:
+        models.private_fedavg(spark, small)
+    assert asked.value.args == (30, (30,))
+
+
 def test_gradients_of_pairs_pass_over_empty_tasks(df):
     from sitelattice.plans.combiners import pair_gradients
     one = np.ones((3, 4), bool)
