@@ -119,10 +119,11 @@ def _finder(k: int, depth: int):
         n = len(ids)
         cut = np.frombuffer(block["cut"], "<i8")[0]
         for qi, order in enumerate(nearest_pivots(q, pivots, depth)):
-            footrule = np.full(n, 2 * int((depth - np.arange(len(order))).sum()), np.int64)
-            for i, p in enumerate(order):
-                span = slice(starts[p], starts[p + 1])
-                footrule[rows[span]] -= 2 * (depth - np.maximum(i, places[span]))
+            spans = [slice(starts[p], starts[p + 1]) for p in order]
+            listed = np.concatenate([rows[s] for s in spans])
+            near = np.concatenate([depth - np.maximum(i, places[s]) for i, s in enumerate(spans)])
+            most = 2 * int((depth - np.arange(len(order))).sum())
+            footrule = most - 2 * np.bincount(listed, near, n)  # whole numbers
             chosen = np.flatnonzero((footrule <= cut) & (ids != q_ids[qi]))
             scores = (data[chosen] * q[qi]).sum(1) / (norms[chosen] * q_norms[qi])
             top = best(ids[chosen], scores, k)

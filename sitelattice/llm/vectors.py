@@ -7,7 +7,7 @@ equal dimension are compared.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -72,22 +72,25 @@ def search(index: DataFrame, queries: DataFrame, fields: list[str], k: int, find
                          F.floor(F.col("block") / GROUP).cast("int").alias("q_group"),
                          F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     copies = index.withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = copies.join(asked, ["block", "dim", "q_group"]).select("dim", *fields, "q_ids", "q_data")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                row = {name: c[r].as_py() for name, c in zip(b.schema.names, b.columns)}
-                q_ids = np.frombuffer(row["q_ids"], "<i8")
-                matrix = np.frombuffer(row["q_data"], "<f8").reshape(len(q_ids), row["dim"])
-                out = [(np.full(len(i), q), i, s) for q, i, s in find(q_ids, matrix, row) if len(i)]
-                if out:
-                    q, i, s = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()),
-                                                      pa.array(s, score)], ["query_id", "vec_id", "score"])
-
     score = {"double": pa.float64(), "long": pa.int64()}[kind]
-    found = met.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", score)])
+
+    def run(block: pa.Table, meets: pa.Table) -> pa.Table:
+        out = []
+        for row in block.select(["dim", *fields]).to_pylist() if meets.num_rows else []:
+            for r in range(meets.num_rows):
+                q_ids = np.frombuffer(meets["q_ids"][r].as_py(), "<i8")
+                matrix = np.frombuffer(meets["q_data"][r].as_py(), "<f8").reshape(len(q_ids), row["dim"])
+                out += [(np.full(len(i), q), i, s) for q, i, s in find(q_ids, matrix, row) if len(i)]
+        if not out:
+            return schema.empty_table()
+        q, i, s = (np.concatenate(x) for x in zip(*out))
+        return pa.table([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, score)], schema=schema)
+
+    # grouped on both sides: a block goes to Python once for all queries of its group, and neither side is ever broadcast,
+    # which the files' sizes would tell Spark to do though every query block is copied for every index block
+    keys = ["block", "dim", "q_group"]
+    found = copies.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, f"query_id long, vec_id long, score {kind}")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

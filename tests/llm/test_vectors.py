@@ -129,3 +129,14 @@ def test_the_learned_cut_keeps_the_recall(dim, clusters):
     print("ann", dim, clusters, recall, within.mean())
     assert recall >= 0.9
     assert within.mean() < (0.2 if clusters else 1.0)
+
+
+@pytest.mark.parametrize("run", [topk.largest_products, ann.nearest])
+def test_no_side_of_the_meetings_is_broadcast(spark, run):
+    """Query blocks are few bytes on disk, but there is a copy of each for every index block."""
+    rnd = np.random.default_rng(8)
+    rows = [(i, list(map(float, rnd.normal(size=4)))) for i in range(400)]
+    got = run(spark.createDataFrame(wrap(rows), SCHEMA), F.col("id") % 20 == 0, k=3, block_rows=50)
+    assert got.count() == 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Broadcast" not in plan
