@@ -140,3 +140,19 @@ def test_no_side_of_the_meetings_is_broadcast(spark, run):
     assert got.count() == 60
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("decay", [1.0, 0.9])
+def test_largest_products_that_drop_rows_early(spark, decay):
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(1500, 48)) * decay ** np.arange(48)
+    x[700:760] = x[700]  # ties at the k-th place
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    v = np.floor(64 * np.array([r[1] for r in rows]))
+    got = topk.largest_products(spark.createDataFrame(wrap(rows), SCHEMA), F.col("id") % 20 == 0, k=7, block_rows=500)
+    want = set()
+    for q in range(0, 1500, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        want |= {(q, r + 1, int(i), int(s[i])) for r, i in enumerate(np.lexsort((np.arange(1500), -s))[:7])}
+    assert {tuple(r) for r in got.collect()} == want
