@@ -120,14 +120,28 @@ def test_private_fedavg_runs_all_rounds(spark, small, monkeypatch):
     class Asked(Exception):
         pass
 
-    def fedavg(*_, rounds, checkpoints, **__):
+    def fedavg_budgets(df, key, y, xs, rounds, budgets, checkpoints, **__):
         raise Asked(rounds, checkpoints)
-    monkeypatch.setattr(SM, "fedavg", fedavg)
+    monkeypatch.setattr(SM, "fedavg_budgets", fedavg_budgets)
     with pytest.raises(Asked) as asked:
         models.private_fedavg(spark, small)
     assert asked.value.args == (30, (30,))
 
 
+def test_federated_budgets_share_their_scans(df, monkeypatch):
+    """Rows are packed once, a null site's rows in no block, and an epoch of all budgets is one scan."""
+    holes = df.withColumn("site", F.when(F.rand(1) < 0.9, F.col("site")))
+    told = dict(rounds=2, checkpoints=(1, 2), local_epochs=2, lr=0.5, unit=True)
+    alone = [SM.fedavg(holes, "site", "y", XS, eps=eps, **told)[1] for eps in (None, 1.0, float("inf"))]
+    scans = []
+    scan = SM._site_gradients
+    monkeypatch.setattr(SM, "_site_gradients", lambda blocks, *a: scans.append(blocks.columns) or scan(blocks, *a))
+    _, both = SM.fedavg_budgets(holes, "site", "y", XS, budgets=[None, 1.0, float("inf")], **told)
+    assert scans == [["k", "z", "y"]] * 4
+    assert all(np.allclose(both[b][r], alone[b][r]) for b in range(3) for r in (1, 2))
+    assert not np.allclose(both[0][2], both[1][2]) and np.allclose(both[0][2], both[2][2])
+
+
 def test_gradients_of_pairs_pass_over_empty_tasks(df):
     from sitelattice.plans.combiners import pair_gradients
     one = np.ones((3, 4), bool)
